@@ -1,0 +1 @@
+"""Empty on purpose: none of the supported operators is a streaming one."""
