@@ -133,6 +133,17 @@ class Inference:
             return F.max(lp)
         return F.max(shift) + F.log(F.sum(F.exp(lp - shift)))
 
+    def edge_cost_range(self) -> DataFrame:
+        """(node_id, slot, word, best, worst): range of an observation's edge cost over all
+        legal parents. The costs themselves stay inside the tasks that make them."""
+        children = self._children(self.obs, ["n"])
+        blocks = pair_blocks(self.legal.withColumn("p", F.struct("word")), children, ["slot"], self.pairs)
+        return (
+            self._scored(blocks, ["slot"])
+            .groupBy(F.col("c.node_id").alias("node_id"), "slot", F.col("c.word").alias("word"))
+            .agg(F.max("cost").alias("best"), F.min("cost").alias("worst"))
+        )
+
     # ---- upward ------------------------------------------------------------------
 
     def leaf_messages(self) -> DataFrame:
@@ -464,18 +475,13 @@ def mass_of_top(beliefs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def decode(words: DataFrame, inference: Inference, threshold: float = 0.5) -> DataFrame:
-    """Clusters: words under the same deepest cut edge; a cut leaf word is alone.
-
-    The anchor of each (slot, leaf) is found on node level, so words only join one row.
-    """
+def cut_anchors(inference: Inference, threshold: float = 0.5) -> DataFrame:
+    """(slot, language, node_id, anchor): the deepest inner node above a leaf whose edge is cut."""
     shape, spark = inference.shape, inference.spark
-    marks = inference.edge_marginals().filter(F.col("innovation") >= threshold)
-    inner_cut = marks.filter((F.col("obs_word") == "") & (F.col("node_id") != F.lit(shape.root))).select(
-        "slot", F.col("node_id").alias("ancestor")
-    )
-    lonely = marks.filter(F.col("obs_word") != "").select(
-        "slot", "node_id", F.col("obs_word").alias("word"), F.lit(True).alias("_alone")
+    cuts = (
+        inference.edge_marginals()
+        .filter((F.col("innovation") >= threshold) & (F.col("obs_word") == "") & (F.col("node_id") != F.lit(shape.root)))
+        .select("slot", F.col("node_id").alias("ancestor"))
     )
     chain = []
     for label, leaf in shape.leaf_of.items():
@@ -484,12 +490,25 @@ def decode(words: DataFrame, inference: Inference, threshold: float = 0.5) -> Da
             chain.append((label, leaf, at, shape.nodes[at].depth))
             at = shape.nodes[at].parent_id
     kind = "string" if isinstance(shape.root, str) else "int"
-    chain_df = spark.createDataFrame(chain, f"language string, node_id {kind}, ancestor {kind}, depth int")
-    anchors = (
-        inner_cut.join(F.broadcast(chain_df) if len(chain) <= MAX_TREE_NODES else chain_df, "ancestor")
-        .groupBy("slot", "node_id")
-        .agg(F.max_by("ancestor", "depth").alias("_anchor"))
+    above = spark.createDataFrame(chain, f"language string, node_id {kind}, ancestor {kind}, depth int")
+    return (
+        cuts.join(F.broadcast(above) if len(chain) <= MAX_TREE_NODES else above, "ancestor")
+        .groupBy("slot", "language", "node_id")
+        .agg(F.max_by("ancestor", "depth").alias("anchor"))
+    )
+
+
+def decode(words: DataFrame, inference: Inference, threshold: float = 0.5) -> DataFrame:
+    """Clusters: words under the same deepest cut edge; a cut leaf word is alone.
+
+    The anchor of each (slot, leaf) is found on node level, so words only join one row.
+    """
+    shape, spark = inference.shape, inference.spark
+    marks = inference.edge_marginals().filter(F.col("innovation") >= threshold)
+    lonely = marks.filter(F.col("obs_word") != "").select(
+        "slot", "node_id", F.col("obs_word").alias("word"), F.lit(True).alias("_alone")
     )
+    anchors = cut_anchors(inference, threshold).select("slot", "node_id", F.col("anchor").alias("_anchor"))
     sizes = inference.legal.groupBy("slot").agg(F.max("nb").alias("nb"))
     anchors = spread(anchors.join(sizes, "slot"))
     leaf_ids = shape.table(spark).select(F.col("label").alias("language"), "node_id").filter(
