@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The boundary / empty symbol and the hole of the wide format.
-EMPTY = "∅"
-HOLE = "?"
+from wordkin.symbols import EMPTY, HOLE
+
+__all__ = ["EMPTY", "HOLE"]
 
 
 def chars(word: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from wordkin.functions.text import EMPTY
+from wordkin.symbols import EMPTY
 
 CELLS = 1_500_000
 SLICE_PAIRS = 400_000
@@ -33,6 +33,10 @@ class _Plain:
         with np.errstate(divide="ignore"):
             return np.log(v)
 
+    @staticmethod
+    def share(f, b, total, stop):
+        return f * b * (1.0 / (total * stop))
+
 
 class _Log:
     zero, one = -np.inf, 0.0
@@ -47,6 +51,10 @@ class _Log:
     def leave(v):
         return v
 
+    @staticmethod
+    def share(f, b, total, stop):
+        return np.exp(f + b - (total + stop))
+
 
 class _Words:
     """Flat character codes of distinct words."""
@@ -130,10 +138,12 @@ def _backward(x, y, lp, lc, flat, base, n, ring, stop):
         if len(ends):
             open_[lc[ends], ends] = stop[ends]
         g = open_.copy()
+        last = lc[ends]
         for j in range(width - 1, -1, -1):
-            more = ring.mul(ins[j], g[j + 1])
-            done = (lp == i) & (lc == j)
-            g[j] = np.where(done, open_[j], ring.add(open_[j], more))
+            g[j] = ring.add(open_[j], ring.mul(ins[j], g[j + 1]))
+            if len(ends):
+                here = ends[last == j]
+                g[j, here] = stop[here]
         out[i] = (g, g, open_)
         below_m, below_d = g, open_
     return out
@@ -145,10 +155,8 @@ def _ring_for(lp, lc, lowest):
 
 def score_pairs(words, parent, child, row, costs) -> np.ndarray:
     """Log-likelihood of word indices ``parent[k] -> child[k]`` under cost row ``row[k]``."""
-    n = costs.cells.shape[1]
-    logs = costs.cells.reshape(-1)
-    plain = np.exp(logs)
-    lowest = float(logs.min())
+    n = costs.n
+    logs, plain, lowest = costs.views()
     out = np.empty(len(parent))
     lp, lc = words.length[parent], words.length[child]
     for pick in _chunks(lp, lc, 1):
@@ -203,10 +211,8 @@ def score_blocks(parents: pa.ListArray, children: pa.ListArray, costs) -> pa.Lis
 
 def count_batch(batch: pa.RecordBatch, costs, per_pair: bool) -> pa.RecordBatch:
     """Expected alignment counts of a batch of (node_id, parent, child[, weight])."""
-    n = costs.cells.shape[1]
-    logs = costs.cells.reshape(-1)
-    plain = np.exp(logs)
-    lowest = float(logs.min())
+    n = costs.n
+    logs, plain, lowest = costs.views()
     both = pa.concat_arrays(
         [batch.column("parent").cast(pa.string()), batch.column("child").cast(pa.string())]
     ).dictionary_encode()
@@ -230,16 +236,15 @@ def count_batch(batch: pa.RecordBatch, costs, per_pair: bool) -> pa.RecordBatch:
         stop = ring.enter(costs.stop[row[pick]])
         total, fwd = _forward(x, y, a, b, flat, base, n, ring, True)
         bwd = _backward(x, y, a, b, flat, base, n, ring, stop)
-        norm = ring.leave(total) + costs.stop[row[pick]]
         for i in range(x.shape[0] + 1):
             for layer in range(3):
                 if (layer != 1 and i == 0) or (layer == 0 and y.shape[0] == 0):
                     continue
-                post = np.exp(ring.leave(fwd[i][layer]) + ring.leave(bwd[i][layer]) - norm)
+                post = ring.share(fwd[i][layer], bwd[i][layer], total, stop)
+                # cells beyond the end of a word have no way to its end, so their share is 0
                 j, k = np.nonzero(post > TINY_COUNT)
                 if layer != 2:
-                    j, k = j[j > 0], k[j > 0]
-                j, k = _inside(i, j, k, a, b)
+                    k, j = k[j > 0], j[j > 0]
                 who.append(pick[k])
                 xs.append(x[i - 1, k] if layer != 1 else np.zeros(len(k), np.int64))
                 ys.append(y[j - 1, k] if layer != 2 else np.zeros(len(k), np.int64))
@@ -252,8 +257,14 @@ def count_batch(batch: pa.RecordBatch, costs, per_pair: bool) -> pa.RecordBatch:
     group = who if per_pair else node_of[who]
     if weight is not None:
         cnt = cnt * weight[who]
-    key, inverse = np.unique((group * n + xs) * n + ys, return_inverse=True)
-    sums = np.bincount(inverse, weights=cnt, minlength=len(key))
+    cell = (group * n + xs) * n + ys
+    if not per_pair and len(nodes.dictionary) * n * n <= CELLS:
+        sums = np.bincount(cell, weights=cnt, minlength=1)
+        key = np.flatnonzero(sums)
+        sums = sums[key]
+    else:
+        key, inverse = np.unique(cell, return_inverse=True)
+        sums = np.bincount(inverse, weights=cnt, minlength=len(key))
     symbol = pa.array([EMPTY] + list(costs.chars[1:]))
     x_col = symbol.take(pa.array(key // n % n))
     y_col = symbol.take(pa.array(key % n))
@@ -265,7 +276,3 @@ def count_batch(batch: pa.RecordBatch, costs, per_pair: bool) -> pa.RecordBatch:
         head, names = [nodes.dictionary.take(g)], ["node_id"]
     return pa.RecordBatch.from_arrays(head + [x_col, y_col, pa.array(sums)], names=names + ["x", "y", "cnt"])
 
-
-def _inside(i, j, k, a, b):
-    ok = (i <= a[k]) & (j <= b[k])
-    return j[ok], k[ok]

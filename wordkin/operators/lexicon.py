@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordkin.functions.text import EMPTY, boundary_bigrams, chars
-from wordkin.session import small
+from wordkin.session import cut, small
 
 # Fixed values of the model: weight of the counts over all nodes, and added mass.
 SHARED = 0.5
@@ -39,7 +39,8 @@ def bigram_counts(words: DataFrame, node: str = "node_id", weight: Column | None
 @dataclass(frozen=True)
 class BigramModel:
     """``rows(node_id, prev, next, lp)`` for pairs seen anywhere, ``defaults(node_id, prev, lp)``
-    for the rest, and ``uniform`` where even ``prev`` is new. No dense grid is stored."""
+    for the rest, and ``uniform`` where even ``prev`` is new. No dense grid is stored. The
+    frames carry a broadcast hint if their counted rows allow it."""
 
     rows: DataFrame | None
     defaults: DataFrame | None
@@ -69,7 +70,7 @@ def fit_bigrams(counts: DataFrame, nodes: list, n_chars: int) -> BigramModel:
         "node_id", "prev", "next", (F.log(F.col("_c") + F.lit(ADDED)) - F.col("_total")).alias("lp")
     )
     defaults = total.select("node_id", "prev", (F.log(F.lit(ADDED)) - F.col("_total")).alias("lp"))
-    return BigramModel(rows, defaults, BigramModel.flat(n_chars).uniform)
+    return BigramModel(small(cut(rows)), small(cut(defaults)), BigramModel.flat(n_chars).uniform)
 
 
 def word_scores(items: DataFrame, model: BigramModel) -> DataFrame:
@@ -83,8 +84,8 @@ def word_scores(items: DataFrame, model: BigramModel) -> DataFrame:
     )
     lp = F.coalesce("_lp", "_default", F.lit(model.uniform))
     return (
-        steps.join(small(model.rows.withColumnRenamed("lp", "_lp")), ["node_id", "prev", "next"], "left")
-        .join(small(model.defaults.withColumnRenamed("lp", "_default")), ["node_id", "prev"], "left")
+        steps.join(model.rows.withColumnRenamed("lp", "_lp"), ["node_id", "prev", "next"], "left")
+        .join(model.defaults.withColumnRenamed("lp", "_default"), ["node_id", "prev"], "left")
         .groupBy("node_id", "word")
         .agg(F.sum(lp).alias("lm"))
     )

@@ -70,6 +70,7 @@ class EdgeModel:
     q0: float = 0.4
     semiring: str = "max"
     project_parent: bool = False
+    beam: float = BEAM
 
 
 def observations(words: DataFrame, shape: TreeShape) -> DataFrame:
@@ -102,10 +103,22 @@ class Inference:
 
     # ---- edge scores -------------------------------------------------------------
 
+    def word_lm(self) -> DataFrame:
+        """(node_id, word, lm) for observed leaf words and for all words at inner nodes."""
+
+        def make():
+            seen = self.obs.select("node_id", "word").distinct()
+            inner = [x for d in range(len(self.shape.levels)) for x in self.shape.inner(d)]
+            every = self.legal.select("word").distinct()
+            ids = F.explode(F.array(*[F.lit(x) for x in inner])).alias("node_id")
+            return cut(word_scores(seen.unionByName(every.select(ids, "word")), self.model.bigrams))
+
+        return self._once("lm", make)
+
     def _children(self, rows: DataFrame, extra: list[str]) -> DataFrame:
         """Pack child rows with the two halves of the mixture: ``keep`` = ln(1-q) and
         ``repl`` = lm + ln q."""
-        lm = word_scores(rows.select("node_id", "word").distinct(), self.model.bigrams)
+        lm = self.word_lm()
         default = self.model.q0
         if self.model.innovation:
             flat = [F.lit(v) for kv in self.model.innovation.items() for v in kv]
@@ -194,7 +207,7 @@ class Inference:
 
     def beam(self, beliefs: DataFrame) -> DataFrame:
         """Beliefs within the beam of the best one of their (slot, node)."""
-        return self.with_top(beliefs).filter(F.col("lp") >= F.col("top") - BEAM)
+        return self.with_top(beliefs).filter(F.col("lp") >= F.col("top") - self.model.beam)
 
     def _project(self, beliefs: DataFrame) -> DataFrame:
         """Message to the parent: best (or log-sum) child word for every legal parent word.
@@ -203,7 +216,7 @@ class Inference:
         """
         keys = ["slot", "node_id"]
         rows = self._children(self.with_top(beliefs), ["lp", "top"])
-        near = F.col("lp") >= F.col("top") - BEAM
+        near = F.col("lp") >= F.col("top") - self.model.beam
         nodes = beliefs.select("slot", "node_id", "word", "blk", "nb")
         parents = nodes.withColumn("p", F.struct("word", "blk", "nb"))
         wide = pair_blocks(parents, rows.filter(near), keys, self.pairs)
@@ -221,7 +234,7 @@ class Inference:
 
         def make():
             root = self.legal.withColumn("node_id", F.lit(self.shape.root))
-            lm = word_scores(root.select("node_id", "word").distinct(), self.model.bigrams)
+            lm = self.word_lm().filter(F.col("node_id") == F.lit(self.shape.root))
             return root.join(lm, ["node_id", "word"]).select(*AT, "node_id", "word", F.col("lm").alias("lp"))
 
         return self._once("rootmsg", make)
@@ -270,7 +283,7 @@ class Inference:
         """Best (or log-sum) parent word for every legal child word, through the node's edge."""
         keys = ["slot", "node_id"]
         top = self.with_top(above)
-        near = F.col("lp") >= F.col("top") - BEAM
+        near = F.col("lp") >= F.col("top") - self.model.beam
         child = self._children(above.select(*AT, "node_id", "word"), ["blk", "nb"])
         wide = pair_blocks(top.filter(near).withColumn("p", F.struct("word", "lp", "top")), child, keys, self.pairs)
         own = diagonal_blocks(

@@ -62,11 +62,12 @@ def re_estimate(
     bigrams = fit_bigrams(new_bigrams, nodes, len(letters))
     return EdgeModel(
         EditScorer(edit),
-        BigramModel(cut(bigrams.rows), cut(bigrams.defaults), bigrams.uniform),
+        bigrams,
         innovation,
         model.q0,
         model.semiring,
         model.project_parent,
+        model.beam,
     )
 
 
@@ -128,6 +129,5 @@ def fixed_cost_job(words: DataFrame, tree: DataFrame, scorer="levenshtein") -> t
     at = F.create_map(*[F.lit(x) for kv in leaf.items() for x in kv])
     counts = bigram_counts(words.filter(F.col("language").isin(list(leaf))).withColumn("node_id", at[F.col("language")]))
     bigrams = fit_bigrams(counts.withColumn("cnt", F.col("cnt").cast("double")), list(shape.nodes), n)
-    bigrams = BigramModel(cut(bigrams.rows), cut(bigrams.defaults), bigrams.uniform)
     step = Inference(words, shape, EdgeModel(scorer, bigrams, {}, INITIAL_INNOVATION))
     return step, words
