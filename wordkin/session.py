@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,9 +61,16 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so lost executors cost no replay."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to a table in the shared checkpoint folder and read it back.
+
+    Lost executors then cost no replay, columns are pruned on the way back, and the planner
+    sees the true size. (A plain checkpoint keeps the estimated size of its plan; over a
+    loop of joins those estimates multiply until planning itself takes minutes.)
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_dir(spark: SparkSession) -> str:
