@@ -51,7 +51,7 @@ def prob_minhash(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     arrival = 0
     while len(h):
         arrival += 1
-        draw = mix(h + _GOLD * np.uint64(2 * arrival))
+        draw = mix(h + np.uint64(int(_GOLD) * 2 * arrival % 2**64))
         time = time - np.log((draw >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54) / rate
         register = own * registers + (mix(draw ^ _GOLD) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, register, time)

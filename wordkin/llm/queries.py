@@ -8,7 +8,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordkin.llm import bpe, chat, hmm, media, minhash, packing, quality, toxicity, urls
+from wordkin.llm import bpe, chat, hmm, media, minhash, packing, quality, substrings, toxicity, urls
 from wordkin.llm.common import id_bucket, table
 from wordkin.session import python_ready, scratch_dir
 
@@ -165,3 +165,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
