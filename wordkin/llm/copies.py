@@ -16,7 +16,7 @@ from wordkin.session import cut, small
 SHINGLE = 5
 #: Members of one group that one task verifies against a copy of the group's first text.
 CHUNK = 256
-WORD_MEMO = 500_000
+WORD_MEMO = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -46,16 +46,29 @@ class Shingler:
         return np.array(out, np.uint64)
 
     def shingles(self, text: str) -> np.ndarray:
-        """One hash for each window of five words; a shorter text is one shingle, an empty one none."""
-        w = self.words(text)
-        if not len(w):
-            return w
-        if len(w) < SHINGLE:
-            w = np.concatenate([w, np.zeros(SHINGLE - len(w), np.uint64)])
-        total = np.zeros(len(w) - SHINGLE + 1, np.uint64)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, counts): one hash for each window of five words, text after text, and how many
+        each text has. A text of fewer words is one shingle, an empty one none."""
+        lists = [self.words(t) for t in texts]
+        sizes = np.array([len(w) for w in lists], np.int64)
+        filled = [np.concatenate([w, np.zeros(SHINGLE - len(w), np.uint64)]) if 0 < len(w) < SHINGLE else w for w in lists]
+        held = np.maximum(sizes, np.where(sizes > 0, SHINGLE, 0))
+        counts = np.maximum(held - SHINGLE + 1, 0)
+        every = np.concatenate(filled) if filled else np.zeros(0, np.uint64)
+        n = len(every) - SHINGLE + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), counts
+        total = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
-            total += mix(w[k : len(w) - SHINGLE + 1 + k]) * _FACTORS[k]
-        return mix(total)
+            total += mix(every[k : n + k]) * _FACTORS[k]
+        # Windows that begin in the last four words of a text would reach into the next one.
+        inside = np.ones(len(every), bool)
+        ends = np.cumsum(held)[sizes > 0]
+        for k in range(1, SHINGLE):
+            inside[ends - k] = False
+        return mix(total[inside[:n]]), counts
 
 
 def distinct_texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
