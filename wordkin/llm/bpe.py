@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from wordkin.llm.common import with_fields, without
 
-MEMO = 300_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -7,10 +7,11 @@ arrival is later than every register. Two texts agree in a register with probabi
 probability Jaccard similarity.
 
 Bands of ROWS registers make candidates; texts that agree in PREFILTER of all registers are compared
-exactly. Inside a bucket every text is first compared with the bucket's first text only, and what is
-then one component needs no further pair. Buckets that still hold several components are paired in
-full if they are small; large ones are divided by a second band (and a third), where near duplicates
-meet again and others part, so no bucket size is left out and no pair of texts is skipped by a cap.
+exactly. Inside a bucket every text is first compared with one text only, the one with the most and
+largest buckets (copies resemble what they were copied from more than each other); what is then one
+component needs no further pair. In buckets that still hold several components, all pairs
+between components are compared by signature, block by block inside tasks, and those that agree exactly.
+Nothing is capped: a bucket of any size is dealt with in full.
 
 Defined results: texts with equal words (in lower case) are one class, texts without words too; null
 texts count as empty; a text of fewer than five words is one shingle; ties cannot occur between distinct
@@ -34,9 +35,9 @@ ROWS = 5
 BANDS = 25
 REGISTERS = ROWS * BANDS
 SIMILAR = 0.8
-PREFILTER = 0.6
-SMALL_BUCKET = 40
-MAX_LEVEL = 2
+PREFILTER = 0.7
+BLOCK = 512
+SALTS = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,7 +75,8 @@ def signatures(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(shingler.shingles(t), return_counts=True) for t in part.column(1).to_pylist()]
+                every, counts = shingler.batch(part.column(1).to_pylist())
+                sets = [np.unique(s, return_counts=True) for s in np.split(every, np.cumsum(counts)[:-1])]
                 sizes = np.array([len(s) for s, _ in sets])
                 owner = np.repeat(np.arange(len(sets)), sizes)
                 found = prob_minhash(np.concatenate([s for s, _ in sets]), np.concatenate([c for _, c in sets]), owner, len(sets))
@@ -105,7 +107,7 @@ def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return both.select("first", "rid", "a", "b").mapInArrow(run, "first long, rid long")
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """links(first, rid) among pairs(first, rid) whose exact similarity reaches the threshold."""
 
     def judge(head: str, head_rid: int, members: list[tuple[int, str]]) -> Iterator[tuple]:
@@ -117,46 +119,101 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similar: flo
                 yield head_rid, rid
 
     schema = pa.schema([("first", pa.int64()), ("rid", pa.int64())])
-    return cut(compare_with_first(cut(_agreeing(pairs, signed)), texts, judge, schema, "first long, rid long"))
+    return cut(compare_with_first(cut(pairs), texts, judge, schema, "first long, rid long"))
 
 
 def near_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Verified links(first, rid) that connect all near duplicates among distinct texts(rid, text)."""
     signed = cut(signatures(texts))
-    keyed = signed.select("rid", "bands", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = cut(keyed.join(buckets, "key").select("key", "first", "n", "rid", "bands"))
-    links = None
-    for level in range(MAX_LEVEL + 1):
-        stars = members.where("rid <> first").select("first", "rid").distinct()
-        found = verified(cut(stars), signed, texts, similar)
-        links = found if links is None else links.unionAll(found)
-        members = cut(_open_buckets(members, links))
-        pairs = members.where("n > 2") if level == MAX_LEVEL else members.where(f"n between 3 and {SMALL_BUCKET}")
-        a = pairs.select("key", "first", "rid", "root").where("rid <> first")
-        b = a.select("key", F.col("rid").alias("other"), F.col("root").alias("other_root"))
-        rest = a.join(b, "key").where("rid > other and root <> other_root").select(F.col("other").alias("first"), "rid").distinct()
-        links = links.unionAll(verified(cut(rest), signed, texts, similar))
-        if level == MAX_LEVEL:
-            break
-        large = members.where(f"n > {SMALL_BUCKET}")
-        if not large.limit(1).count():
-            break
-        # Divide large buckets by each of the other bands: near duplicates share about a third of them.
-        finer = large.select("rid", "bands", "key", F.explode("bands").alias("more")).where("more <> key")
-        finer = cut(finer.select("rid", "bands", F.xxhash64("key", "more").alias("key")))
-        heads = finer.groupBy("key").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1")
-        members = cut(finer.join(heads, "key").select("key", "first", "n", "rid", "bands"))
-    return links
-
-
-def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with their roots, of the buckets that hold more than one component."""
-    roots = components(links, "first", "rid")
-    labelled = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    labelled = cut(labelled)
-    several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return labelled.join(several.select("key"), "key", "left_semi")
+    keyed = signed.select(F.explode("bands").alias("key"), "rid")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("value")).where("value > 1")
+    weight = _spread(sizes, keyed).groupBy("rid").agg(F.sum("value").alias("weight"))
+    weighed = signed.join(weight, "rid").select(F.explode("bands").alias("key"), "rid", "weight")
+    top = F.max(F.struct("weight", (-F.col("rid")).alias("minus")))
+    heads = weighed.groupBy("key").agg((-top["minus"]).alias("value"), F.count("*").alias("n")).where("n > 1")
+    stars = cut(_spread(heads, keyed).where("value <> rid").select(F.col("value").alias("first"), "rid").distinct())
+    links = verified(_agreeing(stars, signed), texts, similar)
+    # Buckets that still hold several components: their members, once a text, then what is across them.
+    roots = components(links, "first", "rid").withColumnRenamed("node", "rid")
+    labelled = cut(signed.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    rooted = labelled.select(F.explode("bands").alias("key"), "rid", "root")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("value")).where("lo <> hi and value > 2")
+    apart = _spread(apart, rooted).groupBy("rid").agg(F.collect_list(F.struct("key", F.col("value").alias("n"))).alias("open"))
+    members = labelled.select("rid", "root", "sig").join(apart, "rid").select("rid", "root", "sig", F.explode("open").alias("o"))
+    across = cut(_across(members.select("rid", "root", "sig", "o.key", "o.n")).distinct())
+    tried = stars.select(F.least("first", "rid").alias("first"), F.greatest("first", "rid").alias("rid"))
+    rest = across.join(tried, ["first", "rid"], "left_anti")
+    return links.unionAll(verified(rest, texts, similar))
+
+
+def _spread(values: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, value, rid): give every row of keyed(key, rid) the value of its key, if values(key, value) has one.
+
+    A key may be that of very many rows: its value is copied to SALTS places, its rows are dealt to them
+    and read in order, so that no task gets all rows of a key.
+    """
+    given = values.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.col("value").alias("x"))
+    asked = keyed.select("key", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("rid").alias("x"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = given.unionAll(asked).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (np.zeros(1, np.int64), np.full(1, -1, np.int64), np.zeros(1, np.int64))
+        for batch in batches:
+            key, salt, kind, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            # The last value seen, carried over from the batch before, counts if it is of the same place.
+            at = np.maximum.accumulate(np.where(kind == 0, np.arange(1, len(key) + 1), 0))
+            keys, salts, values = (np.concatenate([a, b]) for a, b in zip(last, (key, salt, x)))
+            found = (kind == 1) & (keys[at] == key) & (salts[at] == salt)
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[found]), pa.array(values[at][found]), pa.array(x[found])], names=["key", "value", "rid"])
+            if len(at):
+                last = (keys[at[-1] : at[-1] + 1], salts[at[-1] : at[-1] + 1], values[at[-1] : at[-1] + 1])
+
+    return ordered.mapInArrow(run, "key long, value long, rid long")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """pairs(first, rid) of members of one bucket but different components whose signatures agree.
+
+    A bucket is divided into blocks; each pair of blocks is compared in one task, which emits only the
+    pairs that agree, so neither a bucket nor its pairs are ever gathered.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("rid", F.lit(1)), blocks)
+    dealt = members.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = dealt.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "rid", "root", "sig")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(cell: list[tuple]) -> tuple[list[int], list[int]]:
+        x, rid, root, sig = zip(*cell)
+        x, rid, root = np.array(x), np.array(rid), np.array(root)
+        low = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, REGISTERS)
+        diagonal = cell[0][0] == cell[-1][0] and len(set(x.tolist())) == 1
+        first, other = [], []
+        for at in range(len(cell)):
+            partner = (root != root[at]) & (rid > rid[at]) & (diagonal | (x != x[at]))
+            some = np.flatnonzero(partner)
+            some = some[(low[some] == low[at]).mean(1) >= PREFILTER]
+            first += [int(rid[at])] * len(some)
+            other += rid[some].tolist()
+        return first, other
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, now = [], None
+        for batch in batches:
+            key, i, j, *rest = (c.to_pylist() for c in batch.columns)
+            for at, row in zip(zip(key, i, j), zip(*rest)):
+                if at != now and cell:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(cell)], names=["first", "rid"])
+                    cell = []
+                now = at
+                cell.append(row)
+        if cell:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(cell)], names=["first", "rid"])
+
+    return ordered.mapInArrow(run, "first long, rid long")
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:

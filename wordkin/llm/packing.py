@@ -29,7 +29,7 @@ from wordkin.session import cut
 CAPACITY = 4096
 GROUP = 2048
 END_ID = 2
-MEMO = 300_000
+MEMO = 200_000
 
 
 def spread(lengths: list[int], k: int) -> list[list[int]]:

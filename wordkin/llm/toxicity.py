@@ -39,7 +39,7 @@ MIN_RATIO = 6.0
 MIN_SHARE = 0.004
 MAX_WORD = 40
 PADDING = b"\n" * 12
-MEMO = 500_000
+MEMO = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
