@@ -108,8 +108,9 @@ def test_passages_are_found_and_cut(spark):
     rows = [(i, f"{prose(rng, 40)} {shared} {prose(rng, 30)}", "") for i in range(12)] + [(50 + i, prose(rng, 90), "") for i in range(8)] + ODD
     df = spark.createDataFrame(rows, DOCS).coalesce(1)
     got = substrings.report(df).collect()
-    assert {r.doc_id for r in got} == set(range(1, 12)) and {r.first_doc_id for r in got} == {0}
-    assert all(r.start_word == 40 and r.n_words == 60 for r in got)
+    # in a large group, windows whose context reaches out of the passage may lead to another earlier text
+    assert {r.doc_id for r in got} == set(range(1, 12)) and all(r.first_doc_id < r.doc_id for r in got)
+    assert all(r.start_word == 40 and r.n_words == 60 and r.first_start_word == 40 for r in got)
     cleaned = {r.doc_id: r.text for r in substrings.remove_repeated(df).where("doc_id is not null").collect()}
     assert shared in cleaned[0] and all(len(cleaned[i].split()) == 70 for i in range(1, 12))
     assert all(cleaned[50 + i] == rows[12 + i][1] for i in range(8))
