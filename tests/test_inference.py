@@ -238,13 +238,17 @@ def test_rates(spark):
     got = {r.node_id: r.p for r in fit_rates(counts).collect()}
     assert got["a"] == pytest.approx(0.3, abs=1e-3) and got["b"] == pytest.approx(0.8, abs=1e-3)
     none = spark.createDataFrame([("a", 0.0, 10.0)], "node_id string, yes double, n double")
-    assert fit_rates(none).first().p == 0.0
+    assert fit_rates(none).first().p == pytest.approx(0.5 / 11)
     tree = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", float("inf"))], "node_id string, branch_length double")
     p = {r.node_id: r.p for r in fit_branch_rate(counts, tree).collect()}
     # slope of the likelihood at the fitted rate is zero
     assert (3 - 10 * p["a"]) * 1.0 + (8 - 10 * p["b"]) * 2.0 == pytest.approx(0.0, abs=1e-2)
     flat = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "node_id string, branch_length double")
     assert fit_branch_rate(counts, flat).first().p == pytest.approx(11 / 20)
+    never = spark.createDataFrame([("a", 0.0, 10.0), ("b", 0.0, 10.0)], "node_id string, yes double, n double")
+    assert fit_branch_rate(never, flat).first().p == pytest.approx(0.5 / 21)
+    still = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "node_id string, branch_length double")
+    assert fit_branch_rate(counts, still).first().p == pytest.approx(0.5)
 
 
 def test_bigram_model_defaults(spark):
@@ -261,3 +265,18 @@ def test_bigram_model_defaults(spark):
     assert got[("n", "ba")] == pytest.approx(3 * unseen)
     assert got[("z", "c")] == pytest.approx(-2 * math.log(4))
     assert alphabet(words).count() == 3
+
+
+def test_marginals_of_very_unequal_words(spark):
+    """One short word among long ones: the guessed shift fails there and the exact sum takes over."""
+    from wordkin.operators.lexicon import alphabet
+    from wordkin.operators.messages import Inference, TreeShape, prepare
+    from wordkin.plans import cluster_job, views
+
+    rows = [("s", x, "a" * 1200, "g", f"{x}:1") for x in ("de", "en", "es")] + [("s", "fr", "a", "g", "fr:1")]
+    words = spark.createDataFrame(rows, "slot string, language string, word string, gold_id string, obs_id string")
+    shape = TreeShape.of(views.language_tree(spark))
+    letters = [r.ch for r in alphabet(words).collect()]
+    step = Inference(words, shape, cluster_job.initial_model(letters), prepare(words, shape))
+    got = step.edge_marginals().collect()
+    assert got and all(math.isfinite(r.log_z) and 0.0 <= r.innovation <= 1.0 for r in got)

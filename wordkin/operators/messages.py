@@ -351,25 +351,37 @@ class Inference:
         """(slot, node_id, obs_word, n, log_z, innovation): partition of each edge's pair
         scores, and the posterior probability that the edge replaced the word."""
 
-        def make():
-            shift = F.col("p.top") + F.col("c.base")
+        keys = ["slot", "node_id", "obs_word"]
+
+        def summed(scores: DataFrame, shift: Column) -> DataFrame:
             w = F.exp(F.col("score") - shift)
+            return scores.groupBy("slot", "node_id", F.col("c.obs_word").alias("obs_word")).agg(
+                F.max(shift).alias("_shift"),
+                F.sum(w).alias("_z"),
+                F.sum(w * F.col("resp")).alias("_zi"),
+                F.max("c.n").alias("n"),
+            )
+
+        def make():
+            children = self._edge_children()
+            guess = cut(summed(self._edge_scores(children, []), F.col("p.top") + F.col("c.base")))
+            # The guessed shift spares a pass over the pairs. Edges whose words differ so much in length
+            # that it over- or underflows are summed again, relative to their true maximum.
+            fine = (F.col("_z") > 1e-280) & (F.col("_z") < 1e280)
+            off = guess.filter(~fine | F.isnan("_z")).select(*keys)
+            done = guess.filter(fine & ~F.isnan("_z"))
+            if off.limit(1).count():
+                again = children.join(off, keys, "left_semi")
+                top = self._edge_scores(again, []).groupBy("slot", "node_id", F.col("c.obs_word").alias("obs_word"))
+                highest = cut(top.agg(F.max("score").alias("_max")))
+                exact = self._edge_scores(again.join(highest, keys), ["_max"])
+                done = done.unionByName(summed(exact, F.col("c._max")))
             return cut(
-                self._edge_scores(self._edge_children(), [])
-                .groupBy("slot", "node_id", F.col("c.obs_word").alias("obs_word"))
-                .agg(
-                    F.max(shift).alias("_shift"),
-                    F.sum(w).alias("_z"),
-                    F.sum(w * F.col("resp")).alias("_zi"),
-                    F.max("c.n").alias("n"),
-                )
-                .select(
-                    "slot",
-                    "node_id",
-                    "obs_word",
+                done.select(
+                    *keys,
                     "n",
                     (F.col("_shift") + F.log("_z")).alias("log_z"),
-                    (F.col("_zi") / F.col("_z")).alias("innovation"),
+                    F.try_divide("_zi", "_z").alias("innovation"),
                 )
             )
 

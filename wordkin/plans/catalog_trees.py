@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wordkin.functions.ordered import ranked
 from wordkin.operators import lineage as ln, trees as tr
 from wordkin.plans import views
 from wordkin.plans.catalog import (
@@ -123,14 +124,12 @@ def _(spark, sf):
 
 
 @query("t1_support_ranking", with_(OT_CLADES) + """SELECT clade, support, row_number() OVER (ORDER BY support DESC, length(clade) DESC, clade) AS rank
-  FROM (SELECT clade, count(DISTINCT tree_id) AS support FROM oc GROUP BY 1) QUALIFY rank <= 100""")
+  FROM (SELECT clade, count(DISTINCT tree_id) AS support FROM oc GROUP BY 1)""")
 def _(spark, sf):
-    top = tr.ranked_support(support(spark, sf)).limit(100)
-    from pyspark.sql import Window
-
-    # the top-k report is bounded, so one window over it numbers the rows
-    order = Window.orderBy(F.desc("support"), F.desc(F.size("clade")), F.asc(F.array_join("clade", "\u0001")))
-    return top.select(F.array_join("clade", ",").alias("clade"), "support", F.row_number().over(order).cast("bigint").alias("rank"))
+    # clades of one support are numbered among themselves, then moved behind those of larger support
+    rows = support(spark, sf).withColumns({"name": F.array_join("clade", ","), "size": F.length(F.array_join("clade", ","))})
+    numbered = ranked(rows, [], [F.desc("support"), F.desc("size"), F.asc("name")], -F.col("support"), "rank")
+    return numbered.select(F.col("name").alias("clade"), "support", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
 @query("a18_consensus_tree")

@@ -39,7 +39,8 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- sources and sinks ---------------------------------------------------------------
 
-CELLS = """cells AS (SELECT slot, gold_id, language, min(word) AS word FROM wl GROUP BY ALL)"""
+CELLS = """cells AS (SELECT slot, gold_id || '#' || row_number() OVER (PARTITION BY slot, gold_id, language ORDER BY word) AS gold_id,
+  language, word FROM wl)"""
 
 
 @query("s1_wide_word_list", with_(WL, CELLS) + "SELECT 'g' || slot AS slot, language, word, gold_id FROM cells")
@@ -171,12 +172,12 @@ def _(spark, sf):
     return wls.data_lines(lines).groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("lines"))
 
 
-@query("p2_hole_filter", with_(WL) + "SELECT language, count(DISTINCT gold_id) AS cells FROM wl GROUP BY 1")
+@query("p2_hole_filter", with_(WL) + "SELECT language, count(*) AS cells FROM wl GROUP BY 1")
 def _(spark, sf):
     return wls.parse_wide(wide(spark, sf), LANGS, True).groupBy("language").agg(F.count("*").alias("cells"))
 
 
-@query("p3_gloss_normalise", with_(WL) + "SELECT 'g' || slot AS gloss, count(DISTINCT gold_id) AS lines FROM wl GROUP BY 1")
+@query("p3_gloss_normalise", with_(WL, CELLS) + "SELECT 'g' || slot AS gloss, count(DISTINCT gold_id) AS lines FROM cells GROUP BY 1")
 def _(spark, sf):
     first = F.element_at(F.split("value", " "), 1)
     return wide(spark, sf).groupBy(gloss_of(first).alias("gloss")).agg(F.count("*").alias("lines"))
@@ -209,7 +210,7 @@ def _(spark, sf):
 # ---- joins -----------------------------------------------------------------------------
 
 
-@query("j1_positional_zip", with_(WL) + "SELECT language, (CASE language WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END)::BIGINT AS pos, count(DISTINCT gold_id) AS cells FROM wl GROUP BY 1, 2")
+@query("j1_positional_zip", with_(WL) + "SELECT language, (CASE language WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END)::BIGINT AS pos, count(*) AS cells FROM wl GROUP BY 1, 2")
 def _(spark, sf):
     rows = wls.parse_wide(wide(spark, sf), LANGS, True)
     pos = F.element_at(F.split("obs_id", ":"), -1).cast("bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -74,7 +76,7 @@ def re_estimate(
 def run_job(
     words: DataFrame,
     tree: DataFrame,
-    max_iterations: int = 50,
+    max_iterations: int | None = None,
     alignment: str = "closed",
     branch_lengths_after: int | None = None,
     **options,
@@ -90,7 +92,7 @@ def run_job(
     last = -1e10
     clusters = words
     reason = "iteration limit"
-    for it in range(max_iterations):
+    for it in count() if max_iterations is None else range(max_iterations):
         step = Inference(words, shape, model, prepared)
         now = step.likelihood().first().log_likelihood
         change = (now - last) / abs(now)
@@ -110,7 +112,7 @@ def run_job(
             reason = "likelihood fell" if change < 0 else "converged"
             break
         last = now
-        if it + 1 < max_iterations:
+        if max_iterations is None or it + 1 < max_iterations:
             use_lengths = branch_lengths_after is not None and it + 1 > branch_lengths_after
             model = re_estimate(step, letters, model, tree if use_lengths else None, alignment)
     return JobResult(clusters, history, model, reason)

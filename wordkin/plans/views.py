@@ -74,17 +74,18 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide lines ``gloss(n) word word ...``, one per gold group: the smallest word per language."""
+    """Wide lines ``gloss(n) word word ...``: line k of a gold group holds its k-th word of each language."""
     picks = [
-        F.coalesce(F.min(F.when(F.col("language") == x, F.col("word"))), F.lit(HOLE)) for x in LANGUAGES
+        F.coalesce(F.max(F.when(F.col("language") == x, F.col("word"))), F.lit(HOLE)) for x in LANGUAGES
     ]
+    line = F.concat_ws("#", "gold_id", (F.col("k") + 1).cast("string"))
     return (
-        word_list(spark, sf)
-        .groupBy("slot", "gold_id")
+        ranked(word_list(spark, sf), ["slot", "gold_id", "language"], ["word"], F.ascii("word"), "k")
+        .groupBy("slot", line.alias("line_no"))
         .agg(F.array(*picks).alias("cells"))
         .select(
-            F.col("gold_id").alias("line_no"),
-            F.concat_ws(" ", F.concat(F.lit("g"), F.col("slot"), F.lit("("), F.col("gold_id"), F.lit(")")), F.array_join("cells", " ")).alias("value"),
+            "line_no",
+            F.concat_ws(" ", F.concat(F.lit("g"), F.col("slot"), F.lit("("), F.col("line_no"), F.lit(")")), F.array_join("cells", " ")).alias("value"),
         )
     )
 

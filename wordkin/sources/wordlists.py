@@ -102,8 +102,13 @@ def parse_wide(
 
 
 def infer_languages(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1)
-    return [r.language for r in header_languages(first).orderBy("pos").collect()]
+    """Languages of the header, the first ``#`` line of a file; headers of several files must agree."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter(F.col("value").startswith("#")).groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    headers = first.select("value").distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError(f"{path}: expected one header line, found {len(headers) or 'none'}{' or more' if headers else ''}")
+    return headers[0].value.split()[1:] if headers[0].value[1:2] in ("", " ", "\t") else headers[0].value[1:].split()
 
 
 def read_wordlist(
