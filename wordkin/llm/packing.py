@@ -29,7 +29,7 @@ from wordkin.session import cut
 CAPACITY = 4096
 GROUP = 2048
 END_ID = 2
-MEMO = 200_000
+MEMO = 800_000
 
 
 def spread(lengths: list[int], k: int) -> list[list[int]]:
@@ -64,8 +64,9 @@ def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
 class WordTokenizer:
     """Ids of a text by the given tokenizer file, encoded word by word and remembered.
 
-    The tokenizer drops white space and never merges across it, so encoding the parts between
-    spaces and line feeds gives the ids of the whole text.
+    The tokenizer drops white space and never merges across it, so encoding the parts between spaces and
+    line feeds gives the ids of the whole text. It also lower-cases, and parts letters from a closing
+    point or comma: words of Latin-1 letters, whose lower case has no special rules, are remembered once.
     """
 
     def __init__(self, path: str):
@@ -73,22 +74,45 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _stem(word: str) -> str | None:
+        """The lower-case letters of a plain word, without one closing point or comma."""
+        letters = word[:-1] if word[-1] in ".," else word
+        return letters.lower() if letters.isalpha() and max(letters) < "\u0100" else None
+
     def learn(self, missing: list[str]) -> None:
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo = {"": b""}
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.memo[word] = np.array(e.ids, "<u4").tobytes()
+        memo = self.memo
+        stems = {w: stem for w in missing if (stem := self._stem(w))}
+        plain = [x for x in {*stems.values()} if x not in memo]
+        # Plain words are encoded many in a line; each ends with the only token of its that closes a word.
+        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(line):
+                raise ValueError("the tokenizer does not close every word")
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(line, (4 * ends).tolist()):
+                memo[word] = raw[at:end]
+                at = end
+        others = [w for w in missing if w not in stems] + [x for x in ".," if x not in memo]
+        for word, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            memo[word] = np.array(e.ids, "<u4").tobytes()
+        for word, stem in stems.items():
+            memo[word] = memo[stem] + memo[word[-1]] if word[-1] in ".," else memo[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         seen = set().union(*split) if split else set()
         missing = [w for w in seen if w not in self.memo]
         if len(self.memo) + len(missing) > MEMO:
-            missing = list(seen)
+            self.memo = {"": b""}
+            missing = [w for w in seen if w]
         if missing:
             self.learn(missing)
         memo = self.memo
