@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from wordkin.session import cut
 
 CAPACITY = 4096
-GROUP = 2048
+GROUP = 384
 END_ID = 2
 MEMO = 800_000
 
