@@ -105,7 +105,8 @@ def test_compact_windows_cover_every_subsequence_once():
 def test_passages_are_found_and_cut(spark):
     rng = random.Random(5)
     shared = prose(rng, 60)
-    rows = [(i, f"{prose(rng, 40)} {shared} {prose(rng, 30)}", "") for i in range(12)] + [(50 + i, prose(rng, 90), "") for i in range(8)] + ODD
+    rows = [(i, f"{prose(rng, 40)} {shared} {prose(rng, 30)}", "") for i in range(12)] + [(50 + i, prose(rng, 90), "") for i in range(8)]
+    rows += [(d and d + 1000, t, x) for d, t, x in ODD]
     df = spark.createDataFrame(rows, DOCS).coalesce(1)
     got = substrings.report(df).collect()
     # in a large group, windows whose context reaches out of the passage may lead to another earlier text
