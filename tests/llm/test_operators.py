@@ -43,7 +43,10 @@ def test_prob_minhash_estimates_similarity():
     assert (got[0] == got[1]).mean() == pytest.approx(200 / 300, abs=0.03)
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("block, cell_pairs", [(minhash.BLOCK, minhash.CELL_PAIRS), (4, 3)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cell_pairs):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CELL_PAIRS", cell_pairs)
     rng = random.Random(3)
     base = [prose(rng, 80) for _ in range(6)]
     rows = [(i, t, "") for i, t in enumerate(base)]

@@ -10,7 +10,8 @@ Bands of ROWS registers make candidates; texts that agree in PREFILTER of all re
 exactly. Inside a bucket every text is first compared with one text only, the one with the most and
 largest buckets (copies resemble what they were copied from more than each other); what is then one
 component needs no further pair. In buckets that still hold several components, all pairs
-between components are compared by signature, block by block inside tasks, and those that agree exactly.
+between components are compared by signature, block by block inside tasks, and those that agree exactly,
+again block by block: a task gets the texts of two blocks once and the pairs between them as lists.
 Nothing is capped: a bucket of any size is dealt with in full.
 
 Defined results: texts with equal words (in lower case) are one class, texts without words too; null
@@ -37,6 +38,8 @@ REGISTERS = ROWS * BANDS
 SIMILAR = 0.8
 PREFILTER = 0.7
 BLOCK = 512
+#: Pairs between components that one task compares exactly, on average.
+CELL_PAIRS = 4096
 SALTS = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,11 +142,9 @@ def near_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rooted = labelled.select(F.explode("bands").alias("key"), "rid", "root")
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("value")).where("lo <> hi and value > 2")
     apart = _spread(apart, rooted).groupBy("rid").agg(F.collect_list(F.struct("key", F.col("value").alias("n"))).alias("open"))
-    members = labelled.select("rid", "root", "sig").join(apart, "rid").select("rid", "root", "sig", F.explode("open").alias("o"))
-    across = cut(_across(members.select("rid", "root", "sig", "o.key", "o.n")).distinct())
-    tried = stars.select(F.least("first", "rid").alias("first"), F.greatest("first", "rid").alias("rid"))
-    rest = across.join(tried, ["first", "rid"], "left_anti")
-    return links.unionAll(verified(rest, texts, similar))
+    members = labelled.join(apart, "rid").select("rid", "root", "sig", "bands", F.explode("open").alias("o"))
+    across = cut(_across(members.select("rid", "root", "sig", "bands", "o.key", "o.n")))
+    return links.unionAll(_verified_blocks(across, texts, similar))
 
 
 def _spread(values: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -174,31 +175,38 @@ def _spread(values: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """pairs(first, rid) of members of one bucket but different components whose signatures agree.
+    """lists(first, rids) of members of one bucket but different components whose signatures agree.
 
     A bucket is divided into blocks; each pair of blocks is compared in one task, which emits only the
-    pairs that agree, so neither a bucket nor its pairs are ever gathered.
+    pairs that agree, so neither a bucket nor its pairs are ever gathered. A pair that shares several
+    buckets is emitted in the first of them. (If that one holds nothing else, the pair has been tried.)
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("rid", F.lit(1)), blocks)
     dealt = members.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    cells = dealt.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "rid", "root", "sig")
+    cells = dealt.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "rid", "root", "sig", "bands")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(cell: list[tuple]) -> tuple[list[int], list[int]]:
-        x, rid, root, sig = zip(*cell)
-        x, rid, root = np.array(x), np.array(rid), np.array(root)
+    def compare(key: int, cell: list[tuple]) -> Iterator[tuple[int, list[int]]]:
+        x, rid, root, sig, bands = zip(*cell)
+        x, rid, root, bands = np.array(x), np.array(rid), np.array(root), np.array(bands)
         low = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, REGISTERS)
-        diagonal = cell[0][0] == cell[-1][0] and len(set(x.tolist())) == 1
-        first, other = [], []
+        diagonal = len(set(x.tolist())) == 1
         for at in range(len(cell)):
             partner = (root != root[at]) & (rid > rid[at]) & (diagonal | (x != x[at]))
             some = np.flatnonzero(partner)
             some = some[(low[some] == low[at]).mean(1) >= PREFILTER]
-            first += [int(rid[at])] * len(some)
-            other += rid[some].tolist()
-        return first, other
+            if len(some):
+                shared = (bands[some] == bands[at]).argmax(1)
+                some = some[bands[at][shared] == key]
+            if len(some):
+                yield int(rid[at]), rid[some].tolist()
+
+    def lists(found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int64()))], names=["first", "rids"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, now = [], None
@@ -206,14 +214,70 @@ def _across(members: DataFrame) -> DataFrame:
             key, i, j, *rest = (c.to_pylist() for c in batch.columns)
             for at, row in zip(zip(key, i, j), zip(*rest)):
                 if at != now and cell:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(cell)], names=["first", "rid"])
+                    yield lists([*compare(now[0], cell)])
                     cell = []
                 now = at
                 cell.append(row)
         if cell:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(cell)], names=["first", "rid"])
+            yield lists([*compare(now[0], cell)])
+
+    return ordered.mapInArrow(run, "first long, rids array<long>")
+
+
+def _verified_blocks(across: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """links(first, rid) among lists(first, rids) whose exact similarity reaches the threshold.
+
+    Texts are dealt into blocks by number; a cell is a pair of blocks. It gets each text that it
+    compares once, however many pairs the text is in, and the pairs as lists. There are enough cells
+    for CELL_PAIRS pairs in each.
+    """
+    pairs = across.agg(F.sum(F.size("rids"))).first()[0] or 0
+    blocks = max(1, int(np.ceil(np.sqrt(pairs / CELL_PAIRS))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            rid = batch.column(1).flatten().to_numpy()
+            block = [(mix(v.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64) for v in (first, rid)]
+            cell = block[0] * blocks + block[1]
+            used = np.unique(np.concatenate([np.stack([cell, first]), np.stack([cell, rid])], axis=1), axis=1)
+            order = np.lexsort((first, cell))
+            cell, first, rid = cell[order], first[order], rid[order]
+            starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (first[1:] != first[:-1])]))
+            partners = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rid)), pa.int32()), pa.array(rid))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([used[0], cell[starts]])),
+                    pa.array(np.concatenate([used[1], first[starts]])),
+                    pa.concat_arrays([pa.nulls(used.shape[1], partners.type), partners]),
+                ],
+                names=["cell", "rid", "partners"],
+            )
+
+    dealt = cut(across.mapInArrow(deal, "cell long, rid long, partners array<long>"))
+    needed = dealt.where("partners is null").select("cell", "rid").distinct()
+    given = needed.join(texts, "rid").select("cell", F.lit(0).alias("kind"), "rid", "text", F.lit(None).cast("array<long>").alias("partners"))
+    asked = dealt.where("partners is not null").select("cell", F.lit(1).alias("kind"), "rid", F.lit(None).cast("string").alias("text"), "partners")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = given.unionAll(asked).repartition(parts, "cell").sortWithinPartitions("cell", "kind", "rid")
 
-    return ordered.mapInArrow(run, "first long, rid long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, sets, now = Shingler(), {}, None
+        for batch in batches:
+            found = []
+            for cell, kind, rid, text, partners in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
+                    sets, now = {}, cell
+                if kind == 0:
+                    sets[rid] = np.unique(shingler.shingles(text), return_counts=True)
+                else:
+                    found += [(rid, p) for p in partners if probability_jaccard(*sets[rid], *sets[p]) >= similar - 1e-9]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["first", "rid"])
+
+    return cut(ordered.mapInArrow(run, "first long, rid long"))
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
