@@ -16,11 +16,6 @@ def log_sum(values: Column) -> Column:
     return peak + F.log(total)
 
 
-def log_sum_rows(lp: Column, shift: Column) -> Column:
-    """Aggregate form. ``shift`` is a per-group constant close to the group maximum."""
-    return F.first(shift) + F.log(F.sum(F.exp(lp - shift)))
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

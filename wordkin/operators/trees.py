@@ -104,11 +104,6 @@ def clades_agree(a: Column, b: Column) -> Column:
     return (common == 0) | (common == F.size(a)) | (common == F.size(b))
 
 
-def majority_clades(support: DataFrame, trees: int) -> DataFrame:
-    """Clades in more than half of the trees: always free of conflicts among themselves."""
-    return support.filter(F.col("support") * 2 > trees)
-
-
 def conflicts_with(clade_rows: DataFrame, family: DataFrame) -> DataFrame:
     """Per clade, with how many clades of a conflict-free family it conflicts.
 
