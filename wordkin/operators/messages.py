@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wordkin.functions.logmath import mixture, responsibility
 from wordkin.operators.lexicon import BigramModel, word_scores
-from wordkin.operators.pairs import as_scorer, count_pairs, diagonal_blocks, pair_blocks, spread, with_blocks
+from wordkin.operators.pairs import ColumnScorer, as_scorer, count_pairs, diagonal_blocks, pair_blocks, spread, with_blocks
 from wordkin.session import cut, need_at_most, small
 
 # Fixed values of the model: beam width, and the smallest weights that are counted.
@@ -22,6 +22,7 @@ BEAM = 10.0
 TINY_WEIGHT = 1e-8
 MAX_TREE_NODES = 100_000
 AT = ["slot", "blk", "nb"]
+FACTORS = ("mixture", "edit", "bigrams")
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,10 @@ class TreeShape:
 @dataclass(frozen=True)
 class EdgeModel:
     """Scores of an edge: kept words by ``scorer``, replaced ones by ``bigrams``, mixed with
-    the innovation probability of the node (``q0`` where the node has none of its own)."""
+    the innovation probability of the node (``q0`` where the node has none of its own).
+
+    ``factors`` picks the edge: "mixture" of both, "edit" (every word is kept; the root word is
+    scored as an edit of the empty word) or "bigrams" (every word is replaced)."""
 
     scorer: object
     bigrams: BigramModel
@@ -71,6 +75,7 @@ class EdgeModel:
     semiring: str = "max"
     project_parent: bool = False
     beam: float = BEAM
+    factors: str = "mixture"
 
 
 def observations(words: DataFrame, shape: TreeShape) -> DataFrame:
@@ -90,7 +95,10 @@ class Inference:
     def __init__(self, words: DataFrame, tree: DataFrame, model: EdgeModel, prepared=None):
         self.shape = tree if isinstance(tree, TreeShape) else TreeShape.of(tree)
         self.model = model
-        self.scorer = as_scorer(model.scorer)
+        if model.factors not in FACTORS:
+            raise ValueError(f"factors must be one of {FACTORS}")
+        unread = ColumnScorer(lambda p, c: F.lit(0.0))
+        self.scorer = unread if model.factors == "bigrams" else as_scorer(model.scorer)
         self.spark = words.sparkSession
         self.tree = self.shape.table(self.spark)
         self.obs, self.legal, self.pairs = prepared or prepare(words, self.shape)
@@ -118,28 +126,34 @@ class Inference:
     def _children(self, rows: DataFrame, extra: list[str]) -> DataFrame:
         """Pack child rows with the two halves of the mixture: ``keep`` = ln(1-q) and
         ``repl`` = lm + ln q."""
-        lm = self.word_lm()
-        default = self.model.q0
-        if self.model.innovation:
-            flat = [F.lit(v) for kv in self.model.innovation.items() for v in kv]
-            q: Column = F.coalesce(F.create_map(*flat)[F.col("node_id")], F.lit(default))
+        rows = rows.join(self.word_lm(), ["node_id", "word"])
+        if self.model.factors != "mixture":
+            repl, keep = F.col("lm"), F.lit(0.0)
         else:
-            q = F.lit(default)
-        return rows.join(lm, ["node_id", "word"]).withColumn(
-            "c",
-            F.struct(
-                "node_id", "word", (F.col("lm") + F.log(q)).alias("repl"), F.log(F.lit(1.0) - q).alias("keep"), *extra
-            ),
-        )
+            q: Column = F.lit(self.model.q0)
+            if self.model.innovation:
+                rows = rows.join(small(self._rates(), MAX_TREE_NODES), "node_id", "left")
+                q = F.coalesce(F.col("_q"), q)
+            repl, keep = F.col("lm") + F.log(q), F.log(F.lit(1.0) - q)
+        return rows.withColumn("c", F.struct("node_id", "word", repl.alias("repl"), keep.alias("keep"), *extra))
+
+    def _rates(self) -> DataFrame:
+        """(node_id, _q): the innovation probabilities that nodes have of their own."""
+        kind = self.tree.schema["node_id"].dataType.simpleString()
+        rows = [(x, float(p)) for x, p in self.model.innovation.items()]
+        return self._once("rates", lambda: self.spark.createDataFrame(rows, f"node_id {kind}, _q double"))
 
     def _scored(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
-        """Pairs with ``kept`` and ``repl`` (both with prior) and ``cost`` = their log-sum."""
-        kept = F.col("edit") + F.col("c.keep")
-        return (
-            self.scorer.pairs(blocks, keys)
-            .withColumn("kept", kept)
-            .withColumn("cost", mixture(F.col("kept"), F.col("c.repl")))
-        )
+        """Pairs with ``kept`` and ``repl`` (both with prior) and ``cost`` = their log-sum, or the one
+        of them that the model has."""
+        kept, repl = F.col("edit") + F.col("c.keep"), F.col("c.repl")
+        cost = {"mixture": mixture(F.col("kept"), repl), "edit": F.col("kept"), "bigrams": repl}
+        return self.scorer.pairs(blocks, keys).withColumn("kept", kept).withColumn("cost", cost[self.model.factors])
+
+    def _replaced(self) -> Column:
+        """Posterior that a scored pair is a replacement."""
+        sure = {"edit": F.lit(0.0), "bigrams": F.lit(1.0)}
+        return sure.get(self.model.factors, responsibility(F.col("kept"), F.col("c.repl")))
 
     def _best(self, lp: Column, shift: Column) -> Column:
         if self.model.semiring == "max":
@@ -230,10 +244,16 @@ class Inference:
     # ---- root and likelihood -------------------------------------------------------
 
     def root_message(self) -> DataFrame:
-        """Bigram score of every legal word at the root."""
+        """Score of every legal word at the root: its bigrams, or its edit from the empty word."""
 
         def make():
             root = self.legal.withColumn("node_id", F.lit(self.shape.root))
+            if self.model.factors == "edit":
+                blocks = self._children(root, ["blk", "nb"]).select(
+                    "slot", F.array(F.struct(F.lit("").alias("word"))).alias("parents"), F.array("c").alias("children")
+                )
+                at = [F.col(f"c.{x}").alias(x) for x in ("blk", "nb", "node_id", "word")]
+                return cut(self._scored(blocks, ["slot"]).select("slot", *at, F.col("cost").alias("lp")))
             lm = self.word_lm().filter(F.col("node_id") == F.lit(self.shape.root))
             return root.join(lm, ["node_id", "word"]).select(*AT, "node_id", "word", F.col("lm").alias("lp"))
 
@@ -344,7 +364,7 @@ class Inference:
         return (
             self._scored(pair_blocks(self._edge_parents(), packed, keys, self.pairs), keys)
             .withColumn("score", F.col("p.lp") + F.col("c.lp") + F.col("cost"))
-            .withColumn("resp", responsibility(F.col("kept"), F.col("c.repl")))
+            .withColumn("resp", self._replaced())
         )
 
     def edge_marginals(self) -> DataFrame:

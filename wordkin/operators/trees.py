@@ -105,26 +105,25 @@ def clades_agree(a: Column, b: Column) -> Column:
 
 
 def conflicts_with(clade_rows: DataFrame, family: DataFrame) -> DataFrame:
-    """Per clade, with how many clades of a conflict-free family it conflicts.
+    """Per clade, with how many clades of a family it conflicts.
 
     A conflict needs a shared leaf, so the join goes through leaf labels. A conflict-free
-    family has at most two clades per leaf label, which bounds the fan-out by the depth of
-    the family, not by the number of clades.
+    family has few clades per leaf label, which bounds the fan-out by the depth of the family;
+    any other family costs one row per pair of clades and leaf that they share. Clades travel
+    as numbers, their leaves are never repeated per leaf.
     """
-    ours = clade_rows.select("clade", F.size("clade").alias("_n")).distinct()
-    theirs = family.select(F.col("clade").alias("_other"), F.size("clade").alias("_m"))
-    leaf_of = theirs.withColumn("_leaf", F.explode("_other"))
+    ours = cut(clade_rows.select("clade").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    theirs = cut(family.select("clade").distinct().withColumn("_other", F.monotonically_increasing_id()))
+    leaf_of = theirs.select("_other", F.size("clade").alias("_m"), F.explode("clade").alias("_leaf"))
     shared = (
-        ours.withColumn("_leaf", F.explode("clade"))
+        ours.select("_id", F.size("clade").alias("_n"), F.explode("clade").alias("_leaf"))
         .join(small(leaf_of), "_leaf")
-        .groupBy("clade", "_n", "_other", "_m")
+        .groupBy("_id", "_n", "_other", "_m")
         .agg(F.count("*").alias("_common"))
     )
     bad = (F.col("_common") < F.col("_n")) & (F.col("_common") < F.col("_m"))
-    found = shared.filter(bad).groupBy("clade").agg(F.count("*").alias("conflicts"))
-    return ours.select("clade").join(found, "clade", "left").withColumn(
-        "conflicts", F.coalesce("conflicts", F.lit(0)).cast("bigint")
-    )
+    found = shared.filter(bad).groupBy("_id").agg(F.count("*").alias("conflicts"))
+    return ours.join(found, "_id", "left").select("clade", F.coalesce("conflicts", F.lit(0)).cast("bigint").alias("conflicts"))
 
 
 CONSENSUS_BATCH = 1_000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordkin.functions.text import EMPTY
@@ -131,7 +133,7 @@ def _(spark, sf):
 
 @query("m7_em_job")
 def _(spark, sf):
-    result = job.run_job(words(spark, sf), views.language_tree(spark), max_iterations=2)
+    result = job.run_job(words(spark, sf), views.language_tree(spark))
     return job.history_table(result, spark)
 
 
@@ -359,17 +361,28 @@ def _(spark, sf):
     return rows.groupBy(F.col("node_id").cast("bigint").alias("node_id")).agg(total("x").alias("parent_chars"), total("y").alias("child_chars"))
 
 
-@query("x2_factor_model")
+FACTOR_SQL = with_(
+    *MODEL,
+    f"""fc AS (SELECT o.node_id, sum(pr.kept - ln(0.6::DOUBLE)) AS edit, sum(lm.lm) AS bigrams, sum({mix('kept', NEW)}) AS mixture
+      FROM pr JOIN obs o ON o.slot = pr.slot AND o.word = pr.c JOIN lm ON lm.node_id = o.node_id AND lm.word = pr.c GROUP BY 1)""",
+    "rt AS (SELECT sum(-4.0::DOUBLE * length(word)) AS edit, sum(lm.lm) AS bigrams FROM legal JOIN lm USING (word) WHERE lm.node_id = 0)",
+) + """SELECT 'edit' AS model, node_id::BIGINT AS node_id, round(edit, 2) AS total FROM fc UNION ALL SELECT 'bigrams', node_id, round(bigrams, 2) FROM fc
+  UNION ALL SELECT 'mixture', node_id, round(mixture, 2) FROM fc UNION ALL SELECT 'edit', 0, round(edit, 2) FROM rt
+  UNION ALL SELECT 'bigrams', 0, round(bigrams, 2) FROM rt UNION ALL SELECT 'mixture', 0, round(bigrams, 2) FROM rt"""
+
+
+@query("x2_factor_model", FACTOR_SQL)
 def _(spark, sf):
-    """Leaf messages of three factor models: edit only, bigrams only, and their mixture."""
+    """Leaf and root messages of three factor models: edit only, bigrams only, and their mixture."""
     base = step(spark, sf)
     out = None
-    for name, q in (("edit", 1e-300), ("bigrams", 1.0 - 1e-16), ("mixture", 0.4)):
-        model = ms.EdgeModel("levenshtein", base.model.bigrams, {}, q)
+    for name in ms.FACTORS:
+        model = replace(base.model, factors=name)
         again = ms.Inference(words(spark, sf), base.shape, model, (base.obs, base.legal, base.pairs))
-        rows = again.leaf_messages().groupBy("node_id").agg(F.sum("lp").alias("total")).withColumn("model", F.lit(name))
+        messages = again.leaf_messages().select("node_id", "lp").unionAll(again.root_message().select("node_id", "lp"))
+        rows = messages.groupBy("node_id").agg(F.sum("lp").alias("total")).withColumn("model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return as_rows(out, "model", "node_id", "total", digits=2)
 
 
 # ---- re-estimation ---------------------------------------------------------------------------
@@ -414,21 +427,28 @@ def _(spark, sf):
     return model.rows
 
 
-@query("m2_alignment_normalised", with_(WL) + "SELECT DISTINCT language AS node_id, 1.0::DOUBLE AS mass FROM wl")
+MASS_SQL = with_(WL, BG, f"ac AS (SELECT DISTINCT language AS node_id, prev AS x FROM bg WHERE prev <> '{EMPTY}')") + "SELECT node_id, x, 1.0::DOUBLE AS mass FROM ac"
+
+
+@query("m2_alignment_normalised", MASS_SQL)
 def _(spark, sf):
-    # per parent character, all insertions and all other steps share a mass of one
     abc = letters(spark, sf)
-    model = fit_alignments(alignment_stand_in(spark, sf), abc, first_model(spark, sf))
-    return mass_per_node(spark, model)
+    return mass_per_character(fit_alignments(alignment_stand_in(spark, sf), abc, first_model(spark, sf)))
 
 
-def mass_per_node(spark, model: EditModel) -> DataFrame:
-    import numpy as np
+@query("m3_feature_mass", MASS_SQL)
+def _(spark, sf):
+    return mass_per_character(fit_alignment_features(alignment_stand_in(spark, sf), letters(spark, sf), first_model(spark, sf)))
 
-    out = []
-    for part in model.parts():
-        p = np.exp(part.cells)
-        for k, node in enumerate(part.node_ids):
-            share = p[k, 0, 1:].sum() + p[k, 1:, :].sum(axis=1)
-            out.append((node, round(float(share.mean()), 6)))
-    return spark.createDataFrame(out, "node_id string, mass double")
+
+def mass_per_character(model: EditModel) -> DataFrame:
+    """(node_id, x, mass): per parent character, all insertions and all other steps share a mass of one."""
+    size = len(model.alphabet)
+    seen = model.rows.groupBy("node_id", "x").agg(F.sum(F.exp("lp")).alias("own"), F.count("*").alias("k"))
+    floor = model.defaults.filter(F.col("x").isNotNull()).select("node_id", "x", F.exp("lp").alias("unseen"))
+    cells = F.when(F.col("x") == EMPTY, F.lit(size - 1)).otherwise(F.lit(size))
+    both = seen.join(floor, ["node_id", "x"], "left").select(
+        "node_id", "x", (F.col("own") + (cells - F.col("k")) * F.coalesce("unseen", F.lit(0.0))).alias("part")
+    )
+    ins = both.filter(F.col("x") == EMPTY).select("node_id", F.col("part").alias("ins"))
+    return both.filter(F.col("x") != EMPTY).join(ins, "node_id").select("node_id", "x", F.round(F.col("part") + F.col("ins"), 6).alias("mass"))

@@ -93,19 +93,15 @@ def _(spark, sf):
 
 
 CONFLICT_SQL = with_(OT_CLADES, "sup AS (SELECT clade, count(DISTINCT tree_id) AS support FROM oc GROUP BY 1)",
-  "fam AS (SELECT DISTINCT clade FROM oc WHERE tree_id = (SELECT tree_id FROM ot GROUP BY 1 ORDER BY count(*) DESC, tree_id LIMIT 1))",
   "l AS (SELECT clade, string_split(clade, ',') AS x FROM sup)") + """SELECT a.clade, coalesce(sum((n > 0 AND n < len(a.x) AND n < m)::INT), 0)::BIGINT AS conflicts
-  FROM (SELECT a.clade, a.x, len(list_intersect(a.x, b.x)) AS n, len(b.x) AS m FROM l a JOIN (SELECT l.* FROM l JOIN fam USING (clade)) b ON true) a GROUP BY 1"""
+  FROM (SELECT a.clade, a.x, len(list_intersect(a.x, b.x)) AS n, len(b.x) AS m FROM l a JOIN l b ON true) a GROUP BY 1"""
 
 
 @query("j10_clade_compatibility", CONFLICT_SQL)
 def _(spark, sf):
-    # every clade of the sample against the clades of its largest tree
-    every = order_clades(spark, sf)
-    size = every.groupBy("tree_id").agg(F.max(F.size("clade")).alias("n"))
-    top = size.agg(F.max_by("tree_id", F.struct("n", -F.col("tree_id"))).alias("tree_id"))
-    family = every.join(F.broadcast(top), "tree_id").select("clade").distinct()
-    return tr.conflicts_with(support(spark, sf), family).select(F.array_join("clade", ",").alias("clade"), "conflicts")
+    # every distinct clade of the sample against all others
+    every = support(spark, sf)
+    return tr.conflicts_with(every, every).select(F.array_join("clade", ",").alias("clade"), "conflicts")
 
 
 @query("a16_clades", with_(OT_CLADES) + "SELECT tree_id, clade, count(*) AS nodes FROM oc GROUP BY 1, 2")

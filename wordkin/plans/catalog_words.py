@@ -505,14 +505,10 @@ def _(spark, sf):
 @query("e1_uniform_costs", with_(WL, N_CHARS, "z AS (SELECT n::DOUBLE AS n, -ln((n - 1) * exp(-4.0::DOUBLE) + 1 + (n + 1) * exp(-4.0::DOUBLE)) AS c FROM nc)") +
   "SELECT round(c, 9) AS match, round(c - 4, 9) AS substitute, round(c - 4, 9) AS gap, round(ln(1 - exp(ln(n) + c - 4)), 9) AS stop FROM z")
 def _(spark, sf):
-    n = F.col("n").cast("double")
-    log_c = -F.log((n - 1) * F.exp(F.lit(-4.0)) + 1 + (n + 1) * F.exp(F.lit(-4.0)))
-    size = lx.alphabet(words(spark, sf)).agg(F.count("*").alias("n")).withColumn("c", log_c)
-    stop = F.log(1 - F.exp(F.log(n) + F.col("c") - 4))
-    return size.select(
-        F.round("c", 9).alias("match"), F.round(F.col("c") - 4, 9).alias("substitute"),
-        F.round(F.col("c") - 4, 9).alias("gap"), F.round(stop, 9).alias("stop"),
-    )
+    u = uniform_costs(n_chars(spark, sf))
+    return spark.createDataFrame(
+        [(u.match, u.substitute, u.gap, u.stop)], "match double, substitute double, gap double, stop double"
+    ).select(*(F.round(c, 9).alias(c) for c in ("match", "substitute", "gap", "stop")))
 
 
 @query("m8_initial_parameters", with_(WL, LT, N_CHARS, "z AS (SELECT n::DOUBLE AS n, -ln((n - 1) * exp(-4.0::DOUBLE) + 1 + (n + 1) * exp(-4.0::DOUBLE)) AS c FROM nc)") +

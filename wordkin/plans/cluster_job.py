@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,37 +40,33 @@ def initial_model(letters: list[str], **options) -> EdgeModel:
 def re_estimate(
     step: Inference, letters: list[str], model: EdgeModel, tree: DataFrame | None = None, alignment: str = "closed"
 ) -> EdgeModel:
-    """M-step: nodes without counts keep their initial parameters."""
+    """M-step of the parts that the model has: nodes without counts keep their initial parameters."""
     start = EditModel.initial(letters)
     weights = step.pair_weights()
-    aligned = cut(
-        expected_alignments(
-            weights.filter("kept_weight > 0").select("node_id", "parent", "child", F.col("kept_weight").alias("weight")),
-            model.scorer.model,
+    new: dict = {}
+    if model.factors != "bigrams":
+        aligned = cut(
+            expected_alignments(
+                weights.filter("kept_weight > 0").select("node_id", "parent", "child", F.col("kept_weight").alias("weight")),
+                model.scorer.model,
+            )
         )
-    )
-    new_bigrams = cut(
-        bigram_counts(
-            weights.filter("new_weight > 0").select("node_id", F.col("child").alias("word"), "new_weight"),
-            weight=F.col("new_weight"),
+        fit = {"closed": fit_alignments, "features": fit_alignment_features}[alignment]
+        new["scorer"] = EditScorer(fit(aligned, letters, start).with_initial(list(step.shape.nodes)))
+    if model.factors != "edit":
+        new_bigrams = cut(
+            bigram_counts(
+                weights.filter("new_weight > 0").select("node_id", F.col("child").alias("word"), "new_weight"),
+                weight=F.col("new_weight"),
+            )
         )
-    )
-    fit = {"closed": fit_alignments, "features": fit_alignment_features}[alignment]
-    edit = fit(aligned, letters, start).with_initial(list(step.shape.nodes))
-    nodes = [r.node_id for r in need_at_most(new_bigrams.select("node_id").distinct(), UNICODE, "model nodes")]
-    counts = step.innovation_counts()
-    rates = fit_branch_rate(counts, tree) if tree is not None else fit_rates(counts)
-    innovation = {r.node_id: r.p for r in need_at_most(rates, UNICODE, "innovation rates")}
-    bigrams = fit_bigrams(new_bigrams, nodes, len(letters))
-    return EdgeModel(
-        EditScorer(edit),
-        bigrams,
-        innovation,
-        model.q0,
-        model.semiring,
-        model.project_parent,
-        model.beam,
-    )
+        nodes = [r.node_id for r in need_at_most(new_bigrams.select("node_id").distinct(), UNICODE, "model nodes")]
+        new["bigrams"] = fit_bigrams(new_bigrams, nodes, len(letters))
+    if model.factors == "mixture":
+        counts = step.innovation_counts()
+        rates = fit_branch_rate(counts, tree) if tree is not None else fit_rates(counts)
+        new["innovation"] = {r.node_id: r.p for r in need_at_most(rates, UNICODE, "innovation rates")}
+    return replace(model, **new)
 
 
 def run_job(
@@ -119,8 +115,10 @@ def run_job(
 
 
 def history_table(result: JobResult, spark) -> DataFrame:
-    schema = "iter int, log_likelihood double, change double, precision double, recall double, f1 double"
-    return spark.createDataFrame([tuple(h.values()) for h in result.history], schema)
+    """One row per iteration; ``reason`` says on the last one why the job stopped."""
+    schema = "iter int, log_likelihood double, change double, precision double, recall double, f1 double, reason string"
+    last = len(result.history) - 1
+    return spark.createDataFrame([(*h.values(), result.reason if i == last else None) for i, h in enumerate(result.history)], schema)
 
 
 def fixed_cost_job(words: DataFrame, tree: DataFrame, scorer="levenshtein") -> tuple[Inference, DataFrame]:
