@@ -27,26 +27,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered; emptied when there are WORD_MEMO of them."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8"))
-        return h
-
-
 class Shingler:
     """Hashes of the words of a text and of its five-word shingles. Words are compared in lower case."""
 
     def __init__(self):
-        self.memo = _Hashes()
+        self.memo: dict[str, int] = {}
 
     def words(self, text: str) -> np.ndarray:
-        blanks = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ")
-        found = [w for w in blanks.split(" ") if w]
-        return np.fromiter(map(self.memo.__getitem__, found), np.uint64, len(found))
+        memo, out = self.memo, []
+        for w in text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" "):
+            if w:
+                h = memo.get(w)
+                if h is None:
+                    if len(memo) >= WORD_MEMO:
+                        memo.clear()
+                    h = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8"))
+                out.append(h)
+        return np.array(out, np.uint64)
 
     def shingles(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
