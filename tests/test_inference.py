@@ -104,6 +104,29 @@ def test_default_messages_follow_the_recurrence(spark, tree):
         assert down[(3, w)] == pytest.approx(lm(w) + edge(w, "ba") + edge(w, "abb"))
 
 
+def test_separate_factor_models(spark, tree):
+    """One factor alone, with a long word: costs, root messages, posteriors and M-steps of that factor only."""
+    rows = WORDS + [("s", "c", "ab" * 15)]
+    legal = ["ab", "abb", "ba", "ab" * 15]
+    alone = {"edit": (lambda p, c: -4.0 * lev(p, c), lambda w: -4.0 * len(w), 0.0), "bigrams": (lambda p, c: lm(c), lm, 1.0)}
+    for name, (cost, root, replaced) in alone.items():
+        step = infer(spark, tree, rows, factors=name)
+        leaf = {(r.node_id, r.word): r.lp for r in step.leaf_messages().filter("slot = 's'").collect()}
+        top = {r.word: r.lp for r in step.root_message().filter("slot = 's'").collect()}
+        for w in legal:
+            assert leaf[(2, w)] == pytest.approx(cost(w, "ba") + cost(w, "ab" * 15))
+            assert top[w] == pytest.approx(root(w))
+        assert {r.innovation for r in step.edge_marginals().collect()} == {replaced}
+    letters = ["∅", "a", "b"]
+    for name, learnt in (("edit", "scorer"), ("bigrams", "bigrams")):
+        start = job.initial_model(letters, factors=name)
+        step = ms.Inference(as_words(spark, rows), tree, start)
+        after = job.re_estimate(step, letters, start)
+        assert {k for k in ("scorer", "bigrams", "innovation") if getattr(after, k) is not getattr(start, k)} == {learnt}
+    with pytest.raises(ValueError):
+        infer(spark, tree, rows, factors="none")
+
+
 def test_repeated_words_multiply(spark, tree):
     once = infer(spark, tree, WORDS[3:]).slot_likelihood().first().log_likelihood
     twice = infer(spark, tree, WORDS[3:] + [("t", "a", "bb")])
