@@ -120,6 +120,35 @@ def test_passages_are_found_and_cut(spark):
     assert all(cleaned[50 + i] == rows[12 + i][1] for i in range(8))
 
 
+def uncovered(rows, got):
+    """Places of 50 words that an earlier row has too and that the report does not cover."""
+    seen, lost = set(), []
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.start_word + r.n_words))
+    for d, t, _ in rows:
+        w = t.lower().split()
+        mine = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, passage in enumerate(mine):
+            if passage in seen:
+                lost += [(d, k)] if not any(a <= k and k + 50 <= b for a, b in spans.get(d, [])) else []
+        seen.update(mine)
+    return lost
+
+
+@pytest.mark.parametrize("phrase", [5, 30, 42])
+def test_passages_around_a_frequent_phrase(spark, phrase):
+    # The phrase is in all texts; its first text, and most others, lack the passages that pairs of texts share.
+    rng = random.Random(11)
+    line = prose(rng, phrase)
+    rows = [(i, f"{prose(rng, 40)} {line} {prose(rng, 40)}", "") for i in range(40)]
+    for i in range(40):
+        before, after = prose(rng, (60 - phrase) // 2), prose(rng, (60 - phrase) // 2)
+        rows += [(100 + 2 * i + k, f"{prose(rng, 30)} {before} {line} {after} {prose(rng, 30)}", "") for k in (0, 1)]
+    got = substrings.report(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    assert uncovered(rows, got) == [] and {r.doc_id for r in got} == set(range(101, 180, 2))
+
+
 # ---- media, packing, BPE ----------------------------------------------------------------------
 
 
