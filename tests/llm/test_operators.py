@@ -149,6 +149,45 @@ def test_passages_around_a_frequent_phrase(spark, phrase):
     assert uncovered(rows, got) == [] and {r.doc_id for r in got} == set(range(101, 180, 2))
 
 
+def test_passages_after_a_repeated_opening():
+    rng = np.random.default_rng(12)
+    new = lambda n: rng.integers(0, 2**40, n).astype(np.uint64)
+
+    def shingles(*parts):
+        w = np.concatenate(parts)
+        return sum(copies.mix(w[k : len(w) - 4 + k]) * copies._FACTORS[k] for k in range(5))
+
+    line, rest = new(20), new(40)
+    head = shingles(line, new(30), line, rest)
+    assert substrings.shared_passages(shingles(line, rest), head) == [(0, 60, 50, 60)]
+    assert substrings.shared_passages(shingles(new(7), line, rest, new(9)), head) == [(7, 60, 50, 60)]
+    longer = new(90)
+    assert substrings.shared_passages(shingles(line, longer), shingles(line, new(30), line, longer)) == [(0, 110, 50, 110)]
+    # A chain that fails as a whole holds a passage with one changed word.
+    a, b = new(120), new(3)
+    other = np.concatenate([a[:30], b[:1], a[31:80], b[1:2], a[81:86], b[2:3], a[87:120]])
+    (start, n, _, _), *_ = substrings.shared_passages(shingles(other), shingles(a))
+    assert start == 0 and n >= 80
+
+
+def test_passages_match_brute_force_with_repeats(monkeypatch):
+    rng = random.Random(13)
+    for hits in (substrings.HITS, 7):
+        monkeypatch.setattr(substrings, "HITS", hits)
+        for _ in range(60):
+            lines = [[rng.randrange(2**40) for _ in range(rng.randint(6, 30))] for _ in range(6)]
+            a, b = (np.array(sum((rng.choice(lines) for _ in range(8)), []), np.uint64) for _ in range(2))
+            x, y = (copies.mix(sum(copies.mix(w[k : len(w) - 4 + k]) * copies._FACTORS[k] for k in range(5))) for w in (a, b))
+            have = {tuple(y[k : k + 46]) for k in range(len(y) - 45)}
+            found = substrings.shared_passages(x, y)
+            for k in range(len(x) - 45):
+                if tuple(x[k : k + 46]) in have:
+                    assert any(s <= k and k + 50 <= s + n for s, n, _, _ in found)
+            for s, n, t, m in found:
+                same = len(set(x[s : s + n - 4].tolist()) & set(y[t : t + m - 4].tolist()))
+                assert min(n, m) >= 50 and same >= 0.5 * len(set(x[s : s + n - 4].tolist()))
+
+
 # ---- media, packing, BPE ----------------------------------------------------------------------
 
 
