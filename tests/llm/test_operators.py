@@ -293,6 +293,28 @@ def test_forward_and_expected_counts_match_enumeration():
     assert np.allclose(got, total) and np.allclose(got_moves, moves) and likelihood == pytest.approx(sum(logs))
 
 
+def test_training_goes_on_until_the_likelihood_settles(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "EMISSION_PRIOR", 1.0)
+    rng = np.random.default_rng(14)
+    truth = hmm.HmmModel(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.4, 0.3, 0.2, 0.1], [0.1, 0.2, 0.3, 0.4]]))
+    texts = []
+    for _ in range(200):
+        state, text = rng.integers(2), []
+        for _ in range(30):
+            text.append(int(rng.choice(4, p=truth.emit[state])))
+            state = rng.choice(2, p=truth.move[state])
+        texts.append(text + [4])
+    values, offsets = np.concatenate([np.array(t) for t in texts]), np.arange(0, 31 * 201, 31)
+    usage = np.bincount(values, minlength=5) / len(values)
+    df = spark.createDataFrame([(t,) for t in texts], "symbols array<int>")
+    model = hmm.baum_welch(df, "symbols", usage, 2)
+    first, moves, emits, now = model.expected(values, offsets)
+    pi, emits = first + 1.0, emits + usage
+    after = hmm.HmmModel(pi / pi.sum(), (moves + 1.0) / (moves + 1.0).sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
+    assert after.log_likelihood(values, offsets).sum() - now < 1e-4 * abs(now)
+    assert hmm.STATES == 8
+
+
 def test_language_model_rows_and_hot_words(spark):
     rows = [(i, "the cat sat on the mat and the dog ran" if i % 2 else "le chat et le chien", "") for i in range(40)] + ODD
     df = spark.createDataFrame(rows, DOCS).withColumn("learn", F.coalesce(F.col("doc_id") % 5 != 0, F.lit(True)))
