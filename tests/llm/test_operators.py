@@ -365,6 +365,20 @@ def test_toxicity(spark):
     assert none.scores(["", "x"]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_scores_do_not_follow_the_sample_size(spark, monkeypatch):
+    rng = random.Random(15)
+    bad = ["vile", "scumlike", "horridness"]
+    # One marker word is in all toxic texts and in some others, so the share of toxic texts matters.
+    train = [(f"{prose(rng, 30)} {rng.choice(bad) if i % 9 == 0 or i % 13 == 0 else ''}", int(i % 9 == 0)) for i in range(3600)]
+    df = spark.createDataFrame(train, "text string, toxic int").coalesce(1)
+    fresh = [f"{prose(rng, 30)} {w}" for w in bad] * 10 + [prose(rng, 30) for _ in range(30)]
+    whole = toxicity.train_toxicity(df).scores(fresh)
+    monkeypatch.setattr(toxicity, "CALIBRATION", 400)
+    capped = toxicity.train_toxicity(df).scores(fresh)
+    assert 0.3 < whole[:30].mean() < 0.8 and abs(capped[:30].mean() - whole[:30].mean()) < 0.08
+    assert abs(capped[30:].mean() - whole[30:].mean()) < 0.02
+
+
 def test_chat_round_trip(spark):
     control = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", control), (1, 1, "assistant", control + "<\\|<"), (1, 2, "we\nird\\n<|", "\n"), (2, 0, None, None), (None, 1, "assistant", "é\u00a0x"), (None, 1, "assistant", "é\u00a0x")]

@@ -8,7 +8,8 @@ Training. Document frequencies of all words are counted over all labelled traini
 texts, so copies count once). The toxic dictionary holds, rarest evidence first, the words that are
 significantly more frequent in toxic texts (MARKERS at most); the ordinary dictionary the most frequent
 other words of ordinary texts, cut to the same number of bytes. The curve is fitted to a bounded sample
-of CALIBRATION labelled texts per class. Labels, languages, sources and ids are never inputs of a score.
+of CALIBRATION labelled texts per class, each weighing as many texts of its class as it stands for, so
+scores are probabilities at the share of toxic texts in the input, whatever its size. Labels, languages, sources and ids are never inputs of a score.
 
 Windows are single words between blanks: a toxic word is then one window, and windows repeat, so tasks
 remember distances. The padding lets the compressor look at the last bytes of a window.
@@ -94,14 +95,21 @@ class CompressionModel:
         top[: len(best)] = best
         return [*top, d.mean(), (d >= 5).mean(), (d >= 6).mean(), (d >= 8).mean(), math.log(len(d))]
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small ridge penalty."""
-        self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-6
+    def fit(self, rows: np.ndarray, labels: np.ndarray, sizes: tuple[int, int] | None = None) -> None:
+        """Logistic regression by Newton steps, with a small ridge penalty.
+
+        sizes: texts without and with a toxic label that the rows were drawn from, if they are a sample.
+        """
+        drawn = np.bincount(labels.astype(int), minlength=2)
+        weight = (np.array(sizes or drawn) / np.maximum(drawn, 1))[labels.astype(int)]
+        weight *= len(weight) / weight.sum()
+        self.mean = np.average(rows, axis=0, weights=weight)
+        self.scale = np.sqrt(np.average((rows - self.mean) ** 2, axis=0, weights=weight)) + 1e-6
         x = self._scaled(rows)
         w = np.zeros(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (p - labels) + 0.05 * w)
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (weight * (p - labels)) + 0.05 * w)
             w -= step
             if np.abs(step).max() < 1e-8:
                 break
@@ -162,7 +170,7 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
         got = sample.select("text", "y").repartition(spark.sparkContext.defaultParallelism).mapInArrow(measure, "x array<double>, y int").collect()
-        model.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
+        model.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), (n0, n1))
         return model
     finally:
         rows.unpersist()
