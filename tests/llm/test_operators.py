@@ -379,6 +379,13 @@ def test_toxicity_scores_do_not_follow_the_sample_size(spark, monkeypatch):
     assert abs(capped[30:].mean() - whole[30:].mean()) < 0.02
 
 
+def test_rare_toxic_words_are_markers(spark):
+    # 8 of 2,500 toxic texts and no ordinary one hold the word.
+    train = [(f"text{i} of words{' horridness' if i % 8 == 0 and i < 64 else ''}", int(i % 8 == 0)) for i in range(20_000)]
+    model = toxicity.train_toxicity(spark.createDataFrame(train, "text string, toxic int"))
+    assert b" horridness " in model.toxic
+
+
 def test_chat_round_trip(spark):
     control = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", control), (1, 1, "assistant", control + "<\\|<"), (1, 2, "we\nird\\n<|", "\n"), (2, 0, None, None), (None, 1, "assistant", "é\u00a0x"), (None, 1, "assistant", "é\u00a0x")]

@@ -37,7 +37,6 @@ ORDINARY = 4_000
 CALIBRATION = 10_000
 MIN_G2 = 25.0
 MIN_RATIO = 6.0
-MIN_SHARE = 0.004
 MAX_WORD = 40
 PADDING = b"\n" * 12
 MEMO = 200_000
@@ -147,7 +146,7 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
         rate = (a + b) / n
         g2 = 2 * (a * F.log(a / (n1 * rate)) + F.when(b > 0, b * F.log(b / (n0 * rate))).otherwise(0.0))
         marked = (
-            counts.where((a >= 3) & (a >= MIN_SHARE * n1))
+            counts.where(a >= 3)
             .where(a / n1 >= MIN_RATIO * (b + 0.5) / n0)
             .withColumn("g2", g2)
             .where(F.col("g2") >= MIN_G2)
