@@ -3,6 +3,7 @@
 import base64
 import itertools
 import json
+import math
 import random
 import zlib
 
@@ -81,6 +82,13 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block, cell_pairs
     assert kept.columns == df.columns and kept.count() == len(members)
 
 
+def test_prefilter_keeps_pairs_at_the_threshold(spark):
+    n, least = minhash.REGISTERS, math.ceil(minhash.PREFILTER * minhash.REGISTERS)
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-6
+    signed = spark.createDataFrame([(1, bytes(n)), (2, bytes(82) + b"\1" * (n - 82))], "rid long, sig binary")
+    assert minhash._agreeing(spark.createDataFrame([(1, 2)], "first long, rid long"), signed).count() == 1
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert minhash.near_duplicates(df).count() == 0

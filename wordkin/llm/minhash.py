@@ -36,7 +36,7 @@ ROWS = 5
 BANDS = 25
 REGISTERS = ROWS * BANDS
 SIMILAR = 0.8
-PREFILTER = 0.7
+PREFILTER = 0.6
 BLOCK = 512
 #: Pairs between components that one task compares exactly, on average.
 CELL_PAIRS = 4096
