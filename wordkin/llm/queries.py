@@ -8,7 +8,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordkin.llm import bpe, chat, hmm, media, minhash, packing, quality, substrings, toxicity, urls
+from wordkin.llm import bpe, centroids, chat, hmm, licenses, media, minhash, packing, quality, substrings, toxicity, urls, variants
 from wordkin.llm.common import id_bucket, table
 from wordkin.session import python_ready, scratch_dir
 
@@ -170,3 +170,73 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+# crc32 goes through the UTF-8 bytes half a byte at a time; the list holds its sixteen table values (fixed values).
+OP12_SQL = r"""
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+seen as (select run, count(*) as k, hex(encode(d || ':' || run)) as x from runs group by d, run),
+hashed as (select run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x)),
+    lambda i: (strpos('0123456789ABCDEF', x[xor(i, 1) + 1]) - 1)::bigint)),
+    lambda c, v: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][((xor(c, v) & 15) + 1)::bigint]))) as h from seen),
+counted as (select case when h % 97 = 0 then run[:(h % len(run))] || run[(h % len(run)) + 2:] else run end as word, k from hashed),
+vocabulary as materialized (select word, sum(k)::bigint as n from counted where len(word) >= 5 group by 1 having sum(k) >= 3),
+cuts as materialized (select word, n, i, word[:i - 1] || word[i + 1:] as rest from (select *, unnest(range(1, len(word) + 1)) as i from vocabulary)),
+near as materialized (
+  select a.word, b.word as other, b.n as m from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join vocabulary b on a.rest = b.word
+  union select b.word, a.word, a.n from cuts a join vocabulary b on a.rest = b.word),
+best as materialized (select word, count(*) as n_near, max(m) as m from near group by word),
+first_best as materialized (select word, min(other) as form from near join best using (word, m) group by word),
+chosen as materialized (select v.word, v.n, coalesce(b.n_near, 0) as n_near,
+    case when b.m >= 2 * v.n then f.form end as form, case when b.m >= 2 * v.n then b.m end as form_n
+  from vocabulary v left join best b using (word) left join first_best f using (word)),
+walk as (
+  select word, word as here, 0 as steps from chosen
+  union all select w.word, c.form, steps + 1 from walk w join chosen c on c.word = w.here where c.form is not null),
+ends as (select word, arg_max(here, steps) as root from walk group by word)
+select word, form, root, n, n_near, form_n from chosen join ends using (word)
+"""
+
+
+@query(OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another, over whole numbers."""
+    steps = [
+        f"""v as materialized (select vec_id, row_number() over () as r,
+          list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+          where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"""c0 as materialized (select row_number() over (order by sha256('3:' || vec_id), vec_id, e) - 1 as c, e
+          from v order by sha256('3:' || vec_id), vec_id, e limit {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select r, min(struct_pack(d := d, c := c)) as best from (select r, c,
+          list_sum(list_transform(list_zip(v.e, k.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c{i} k) group by r)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select c, j, sum(x) as t, count(*) as n from (select a.best.c as c, unnest(v.e) as x, unnest(range(1, 65)) as j
+              from v join a{i} a using (r)) group by c, j),
+            c{i + 1} as materialized (select k.c, coalesce(list(((s.t - ((s.t % s.n) + s.n) % s.n) // s.n)::bigint order by s.j) filter (s.j is not null), any_value(k.e)) as e
+              from c{i} k left join s{i} s on s.c = k.c group by k.c)""")
+    last = rounds
+    return "with " + ",\n".join(steps) + f"""
+      select v.vec_id, a.best.c::integer as cluster, a.best.d as distance,
+        (sum(a.best.d) over (partition by a.best.c))::bigint as cluster_inertia, (sum(a.best.d) over ())::bigint as inertia,
+        sha256(array_to_string(k.e, ',')) as centroid_sha256
+      from v join a{last} a using (r) join c{last} k on k.c = a.best.c"""
+
+
+@query(_lloyd_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"))
