@@ -91,7 +91,7 @@ def count_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", every
 
 def wide_groups(words: int) -> int:
     """How many wide letter groups shard a vocabulary of that many words: so many that usual shards hold about a block."""
-    return next((d for d, most in ((2, 20_000), (3, 2_000_000), (4, 20_000_000), (6, 500_000_000)) if words <= most), 8)
+    return next((d for d, most in ((2, 20_000), (3, 100_000), (4, 5_000_000), (6, 500_000_000)) if words <= most), 8)
 
 
 def _neighbours(d: int) -> list[tuple[int, ...]]:
