@@ -101,7 +101,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a toxicity label, of the ids that training may use."""
     labels = table(spark, sf_dir, "labels").where(id_bucket(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(toxicity.TEXT_HASH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hashed)
+    return docs.join(labels, "doc_id").select("text", "toxic", toxicity.TEXT_HASH)
 
 
 @query()

@@ -1,28 +1,34 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal size, one of toxic and one of ordinary text, compress every window
-of a document; the window's distance is the number of bytes by which the toxic dictionary does better.
-A logistic curve over a document's distances, fitted to labelled documents, gives the score.
+Two zstandard dictionaries of equal size, one of toxic and one of ordinary text, compress every window of
+WINDOW words of a document. The distance of a window is the number of bytes by which the toxic dictionary
+does better. A logistic curve over a document's distances (the largest ones, their mean, the shares of
+windows that reach each of LEVELS) gives the score.
 
-Training. Document frequencies of all words are counted over all labelled training texts (distinct
-texts, so copies count once). The toxic dictionary holds, rarest evidence first, the words that are
-significantly more frequent in toxic texts (MARKERS at most); the ordinary dictionary the most frequent
-other words of ordinary texts, cut to the same number of bytes. The curve is fitted to a bounded sample
-of CALIBRATION labelled texts per class, each weighing as many texts of its class as it stands for, so
-scores are probabilities at the share of toxic texts in the input, whatever its size. Labels, languages, sources and ids are never inputs of a score.
+Training. Both dictionaries begin with the content that zstandard's own trainer picks from windows of both
+classes without toxic segments, so what all texts have in common costs the same in both. The toxic one goes on with segments
+(beginnings of words) that are significantly more frequent in toxic texts, strongest last, the ordinary one
+with as many bytes of the most frequent other segments of ordinary texts. The curve is fitted to labelled
+texts that the dictionaries have not seen, each weighing as many texts of its class as it stands for, so
+scores are probabilities at the share of toxic texts in the input, whatever its size. Labels, languages,
+sources and ids are never inputs of a score.
 
-Windows are single words between blanks: a toxic word is then one window, and windows repeat, so tasks
-remember distances. The padding lets the compressor look at the last bytes of a window.
+Only bounded samples of labelled texts are looked at (documented parameters): SAMPLE texts per class for
+the dictionaries and SAMPLE per class for the curve, those with the smallest hashes; equal texts count
+once, and so do texts of one class with the same smallest shingle, which most near copies share; of the former, TRAINED windows per class for the trainer. All hashes are compared as numbers; only
+the texts of the sample are moved.
 
 Defined results: a null text counts as empty and gets the score of a text without windows, a number like
-any other; without labelled texts of both classes every score is the share of toxic labels (0 without
-labels); equal texts get equal scores; rows are never dropped and extra columns are passed through.
+any other; without labelled texts of both classes in both samples every score is the share of toxic labels
+(0 without labels); equal texts get equal scores; rows are never dropped and extra columns are passed
+through, but for input columns of the score's name, which are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,68 +37,101 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from wordkin.llm.common import with_fields, without
+from wordkin.llm.copies import Shingler
+from wordkin.session import cut, small
 
-MARKERS = 1_000
-ORDINARY = 4_000
-CALIBRATION = 10_000
+SAMPLE = 2_500
+TRAINED = 20_000
+WINDOW = 8
+COMMON = 4_096
+LEVELS = (1, 2, 3, 4, 5)
+# Segments: beginnings of words of 4 to 12 letters; how significant and how much more frequent they are in toxic texts.
+SHORTEST, LONGEST = 4, 12
+SEGMENTS = 1_000
+MIN_TEXTS = 3
 MIN_G2 = 25.0
 MIN_RATIO = 6.0
-MAX_WORD = 40
-PADDING = b"\n" * 12
-MEMO = 200_000
+# The compressor does not look for matches in the last bytes of its input.
+PADDING = b" " + b"\n" * 8
+TEXT_HASH = "text_hash"
 WORD = re.compile(r"[^\W_]+")
 
 
+def windows(text: str | None) -> list[bytes]:
+    """All windows of WINDOW words; a text without words has one empty window."""
+    words = (text or "").lower().split()
+    return [" ".join(words[k : k + WINDOW]).encode("utf-8") for k in range(0, len(words), WINDOW)] or [b""]
+
+
+def segments(text: str | None) -> set[str]:
+    """All beginnings of the words of a text."""
+    return {w[:k] for w in set(WORD.findall((text or "").lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """Dictionary content by zstandard's trainer; of too few samples, their last bytes."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-size:]
+
+
+def apart(ranked: list[str], most: int) -> list[str]:
+    """The first segments of a ranking none of which holds another."""
+    kept: list[str] = []
+    for s in ranked:
+        if len(kept) < most and not any(s in k or k in s for k in kept):
+            kept.append(s)
+    return kept
+
+
 class CompressionModel:
     """The two dictionaries and the fitted curve."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], prior: float):
+    def __init__(self, common: bytes, toxic: list[str], ordinary: list[str], prior: float):
         self.prior, self.weights = prior, None
-        self.toxic = (" " + "  ".join(toxic) + " ").encode()
-        self.ordinary = (" " + "  ".join(ordinary) + " ").encode()[: len(self.toxic)].ljust(len(self.toxic))
+        # The strongest segments come last, next to the window.
+        marked = (" " + "  ".join(reversed(toxic)) + " ").encode()
+        usual = (" " + "  ".join(reversed(ordinary)) + " ").encode()
+        self.toxic = common + marked
+        self.ordinary = common + usual[-len(marked) :].rjust(len(marked))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tools", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k != "tools"}
 
-    def _compressor(self, content: bytes) -> zstandard.ZstdCompressor:
+    @staticmethod
+    def compressor(content: bytes) -> zstandard.ZstdCompressor:
         how = zstandard.ZstdCompressionParameters(
             format=zstandard.FORMAT_ZSTD1_MAGICLESS,
             write_content_size=0,
             write_checksum=0,
             write_dict_id=0,
             window_log=17,
-            hash_log=15,
-            chain_log=15,
+            hash_log=16,
+            chain_log=16,
             search_log=6,
             min_match=5,
             target_length=32,
-            strategy=zstandard.STRATEGY_LAZY,
+            strategy=zstandard.STRATEGY_BTLAZY2,
         )
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how)
 
-    def distances(self, text: str) -> np.ndarray:
+    def distances(self, text: str | None) -> np.ndarray:
         if not hasattr(self, "tools"):
-            self.tools, self.memo = (self._compressor(self.ordinary), self._compressor(self.toxic)), {}
-        memo, out = self.memo, []
-        for word in WORD.findall(text.lower()):
-            d = memo.get(word)
-            if d is None:
-                window = b" " + word.encode("utf-8") + b" " + PADDING
-                d = len(self.tools[0].compress(window)) - len(self.tools[1].compress(window))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[word] = d
-            out.append(d)
-        return np.array(out or [0], np.int32)
-
-    def features(self, text: str) -> list[float]:
+            self.tools = self.compressor(self.ordinary), self.compressor(self.toxic)
+        plain, toxic = self.tools
+        padded = [b" " + w + PADDING for w in windows(text)]
+        return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in padded], np.int32)
+
+    def features(self, text: str | None) -> list[float]:
         d = self.distances(text)
         top = np.zeros(3)
         best = np.sort(d)[::-1][:3]
         top[: len(best)] = best
-        return [*top, d.mean(), (d >= 5).mean(), (d >= 6).mean(), (d >= 8).mean(), math.log(len(d))]
+        reach = [(d >= level).mean() for level in LEVELS]
+        return [*top, d.mean(), *reach, *(math.log1p((d >= level).sum()) for level in LEVELS), math.log(len(d))]
 
     def fit(self, rows: np.ndarray, labels: np.ndarray, sizes: tuple[int, int] | None = None) -> None:
         """Logistic regression by Newton steps, with a small ridge penalty.
@@ -117,7 +156,7 @@ class CompressionModel:
     def _scaled(self, rows: np.ndarray) -> np.ndarray:
         return np.c_[(rows - self.mean) / self.scale, np.ones(len(rows))]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
         if not texts:
@@ -125,54 +164,100 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(self._scaled(np.array([self.features(t) for t in texts])) @ self.weights, -30, 30)))
 
 
-def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic") -> CompressionModel:
+def draw(labelled: DataFrame, text: str, label: str, per_class: int) -> tuple[DataFrame, tuple[int, int]]:
+    """(sample(text, y, fits), texts without and with a toxic label): distinct labelled texts with the smallest hashes.
+
+    fits marks the half that the curve is fitted to. Up to 2 * per_class texts of each class are drawn. A caller that
+    joins texts and labels may give the hash of the text as TEXT_HASH, made before the join."""
+    held = F.coalesce(F.col(text), F.lit(""))
+    digest = F.col(TEXT_HASH) if TEXT_HASH in labelled.columns else F.xxhash64(held)
+    rows = labelled.where(F.col(label).isin(0, 1)).select(held.alias("text"), digest.alias("h"), F.col(label).cast("int").alias("y"))
+    marks = cut(rows.select("h", "y").groupBy("h").agg(F.max("y").alias("y")))
+    total = marks.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    drawn = None
+    for y in (0, 1):
+        own = marks.where(F.col("y") == y).orderBy("h").limit(2 * per_class)
+        drawn = own if drawn is None else drawn.unionAll(own)
+    drawn = cut(drawn)
+    # The bound reaches the scan, so a join of texts and labels moves only what may be drawn.
+    highest = drawn.agg(F.max("h")).first()[0]
+    near = rows.drop("y").where(F.col("h") <= F.lit(highest))
+    sample = near.join(small(drawn), "h").dropDuplicates(["h"]).select("text", "y", "h")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            least = [int(min(shingler.shingles(t), default=0)) - 2**63 for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "y", "h", "least"])
+
+    # Near copies mostly have the same smallest shingle; one of them says what all say.
+    sample = sample.mapInArrow(sketch, "text string, y int, h long, least long").dropDuplicates(["least", "y"])
+    return cut(sample.select("text", "y", (F.pmod(F.xxhash64("least"), F.lit(2)) == 0).alias("fits"))), (total[0] - total[1], total[1])
+
+
+def count_segments(sample: DataFrame) -> DataFrame:
+    """(segment, a, b): texts of sample(text, y) with and without a toxic label that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = Counter(), Counter()
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[1 - y].update(segments(t))
+            every = list(held[0].keys() | held[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(every, pa.string()), *(pa.array([h[s] for s in every], pa.int64()) for h in held)], names=["segment", "a", "b"]
+            )
+
+    return sample.select("text", "y").mapInArrow(run, "segment string, a long, b long").groupBy("segment").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def sample_windows(sample: DataFrame, most: int) -> list[bytes]:
+    """Windows with the smallest hashes, up to most of them per class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(y, w) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(windows(t)) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], names=["y", "w"])
+
+    every = sample.select("text", "y").mapInArrow(run, "y int, w binary")
+    order = F.xxhash64("w")
+    return [bytes(r["w"]) for y in (0, 1) for r in every.where(F.col("y") == y).orderBy(order, "w").limit(most).collect()]
+
+
+def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> CompressionModel:
     """labelled: one row per labelled training text, label 0 or 1; rows without a label are ignored."""
     spark = labelled.sparkSession
-    rows = (
-        labelled.where(F.col(label).isin(0, 1))
-        .groupBy(F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .agg(F.max(F.col(label).cast("int")).alias("y"))
-        .cache()
-    )
-    try:
-        total = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
-        n, n1 = total[0], total[1]
-        n0 = n - n1
-        if not n1 or not n0:
-            return CompressionModel([], [], n1 / n if n else 0.0)
-        seen = rows.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w"))
-        counts = seen.where(F.length("w").between(1, MAX_WORD)).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).cache()
-        a, b = F.col("a"), F.col("b")
-        rate = (a + b) / n
-        g2 = 2 * (a * F.log(a / (n1 * rate)) + F.when(b > 0, b * F.log(b / (n0 * rate))).otherwise(0.0))
-        marked = (
-            counts.where(a >= 3)
-            .where(a / n1 >= MIN_RATIO * (b + 0.5) / n0)
-            .withColumn("g2", g2)
-            .where(F.col("g2") >= MIN_G2)
-        )
-        toxic = [r["w"] for r in marked.orderBy(F.desc("g2"), "w").limit(MARKERS).collect()]
-        held = set(toxic)
-        usual = counts.where(b > 0).orderBy(F.desc("b"), "w").limit(ORDINARY + MARKERS).collect()
-        model = CompressionModel(toxic[::-1], [r["w"] for r in usual if r["w"] not in held][:ORDINARY], n1 / n)
-        counts.unpersist()
-        # The features of a bounded sample, those of each class with the smallest hash.
-        sample = None
-        for y in (0, 1):
-            drawn = rows.where(F.col("y") == y).orderBy(F.xxhash64("text"), "text").limit(CALIBRATION)
-            sample = drawn if sample is None else sample.unionAll(drawn)
-        shared = spark.sparkContext.broadcast(model)
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shared.value.features(t) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
-
-        got = sample.select("text", "y").repartition(spark.sparkContext.defaultParallelism).mapInArrow(measure, "x array<double>, y int").collect()
-        model.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), (n0, n1))
-        return model
-    finally:
-        rows.unpersist()
+    sample, sizes = draw(labelled, text, label, per_class)
+    prior = sizes[1] / sum(sizes) if sum(sizes) else 0.0
+    seen, fits = sample.where(~F.col("fits")), sample.where("fits")
+    halves = {(r["fits"], r["y"]): r["count"] for r in sample.groupBy("fits", "y").count().collect()}
+    if len(halves) < 4:
+        return CompressionModel(b"", [], [], prior)
+    n0, n1 = halves[False, 0], halves[False, 1]
+    counts = cut(count_segments(seen))
+    a, b = F.col("a"), F.col("b")
+    rate = (a + b) / (n0 + n1)
+    g2 = F.round(2 * (a * F.log(a / (n1 * rate)) + F.when(b > 0, b * F.log(b / (n0 * rate))).otherwise(0.0)), 6)
+    strong = counts.where(a >= MIN_TEXTS).where(a / n1 >= MIN_RATIO * (b + 0.5) / n0).select("segment", g2.alias("g2")).where(F.col("g2") >= MIN_G2)
+    # Among equals the longest segment says most.
+    toxic = [r["segment"] for r in strong.orderBy(F.desc("g2"), F.desc(F.length("segment")), "segment").limit(8 * SEGMENTS).collect()]
+    toxic = apart(toxic, SEGMENTS)
+    usual = [r["segment"] for r in counts.where(b > 0).orderBy(F.desc("b"), "segment").limit(4 * SEGMENTS).collect()]
+    usual = [s for s in usual if not any(s in t or t in s for t in toxic)]
+    # What is common to both classes is trained without the toxic segments.
+    marks = re.compile("|".join(map(re.escape, toxic)).encode("utf-8")) if toxic else re.compile(rb"\b\B")
+    common = trained([w for w in sample_windows(seen, TRAINED) if not marks.search(w)], COMMON)
+    model = CompressionModel(common, toxic, usual, prior)
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+
+    got = fits.select("text", "y").repartition(spark.sparkContext.defaultParallelism).mapInArrow(measure, "x array<double>, y int").collect()
+    model.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), sizes)
+    return model
 
 
 def score_toxicity(df: DataFrame, model: CompressionModel, text: str = "text", score: str = "score") -> DataFrame:
@@ -182,7 +267,7 @@ def score_toxicity(df: DataFrame, model: CompressionModel, text: str = "text", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*batch.schema.names, score])
 
     return df.mapInArrow(run, with_fields(df, f"{score} double"))
