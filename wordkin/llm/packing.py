@@ -65,7 +65,8 @@ class WordTokenizer:
     """Ids of a text by the given tokenizer file, encoded word by word and remembered.
 
     The tokenizer drops white space and never merges across it, so encoding the parts between spaces and
-    line feeds gives the ids of the whole text. It also lower-cases, and parts letters from a closing
+    line feeds gives the ids of the whole text; its special marks hold none, so they lie within a part and
+    get their ids, as the library does by default. It also lower-cases, and parts letters from a closing
     point or comma: words of Latin-1 letters, whose lower case has no special rules, are remembered once.
     """
 
@@ -73,7 +74,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
