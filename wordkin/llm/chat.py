@@ -38,9 +38,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # "\\\\" first becomes a character that the template never holds alone, "\\n" a line feed.
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    # Pairs of backslashes, taken from the left, stand for one; between them "\\n" stands for a line feed.
+    pieces = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(pieces, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def text_parts(text: Column) -> Column:
