@@ -6,7 +6,8 @@ part of its text this way, or fails the base rules, is rejected.
 
 Defined results: a null text counts as empty; a text without words has all counts 0 and is rejected
 (base rule); blank lines are neither judged nor counted as lost; equal rows get equal verdicts; every
-input column is passed through, result columns are named by the caller's prefix so that nothing clashes.
+input column is passed through, but for those with the name of a result (after the caller's prefix), which
+are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MAX_SYMBOLS_PER_WORD = 0.2
 MAX_SHOUT = 0.3
 MIN_STUTTER_WORDS = 10
 MIN_DISTINCT = 0.25
+# Reserved names of columns that exist between the steps only.
+HELD = "_wordkin_quality_"
 
 
 def repeated_word_count(w: Column) -> Column:
@@ -83,7 +86,7 @@ def quality(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Add the base statistics, the cleaned text and the verdict to every row.
 
     Columns (each with the prefix): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, clean_text, n_lines, n_lines_removed, lost_share.
+    base_failed, kept, clean_text, n_lines, lost_share. Input columns of these names are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     p = prefix
@@ -92,22 +95,22 @@ def quality(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     # Arrays are built once, in a projection of their own, then measured.
     judged = df.withColumns(
         {
-            f"{p}_w": words(t),
-            f"{p}_full": full,
-            f"{p}_ok": F.filter(lines, lambda x: ~line_fails(x)),
+            f"{HELD}w": words(t),
+            f"{HELD}full": full,
+            f"{HELD}ok": F.filter(lines, lambda x: ~line_fails(x)),
         }
     )
-    w, ok = F.col(f"{p}_w"), F.col(f"{p}_ok")
+    w, ok = F.col(f"{HELD}w"), F.col(f"{HELD}ok")
     ink = lambda c: F.length(F.translate(c, SPACE_CHARS, ""))
     counted = judged.withColumns(
         {
             f"{p}n_words": F.size(w).cast("long"),
             f"{p}word_chars": ink(t).cast("long"),
             f"{p}n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            f"{p}n_dup_lines": (F.size(f"{p}_full") - F.size(F.array_distinct(f"{p}_full"))).cast("long"),
+            f"{p}n_dup_lines": (F.size(f"{HELD}full") - F.size(F.array_distinct(f"{HELD}full"))).cast("long"),
             f"{p}n_repeat_words": repeated_word_count(w),
             f"{p}clean_text": F.array_join(ok, "\n"),
-            f"{p}n_lines": F.size(f"{p}_full").cast("long"),
+            f"{p}n_lines": F.size(f"{HELD}full").cast("long"),
         }
     )
     n, chars = F.col(f"{p}n_words"), F.col(f"{p}word_chars")
@@ -116,5 +119,5 @@ def quality(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         counted.withColumn(f"{p}base_failed", (n < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * n))
         .withColumn(f"{p}lost_share", F.when(chars > 0, lost / chars).otherwise(F.lit(0.0)))
         .withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}lost_share") <= MAX_LOST))
-        .drop(f"{p}_w", f"{p}_full", f"{p}_ok")
+        .drop(f"{HELD}w", f"{HELD}full", f"{HELD}ok")
     )
