@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wordkin.llm import bpe, chat, copies, hmm, media, minhash, packing, quality, substrings, toxicity, urls
+from wordkin.llm import bpe, chat, copies, hmm, media, minhash, packing, quality, queries, substrings, toxicity, urls
 from wordkin.session import scratch_dir
 
 DOCS = "doc_id long, text string, extra string"
@@ -239,9 +239,10 @@ def test_packing_matches_the_tokenizer(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(7)
     rows = ODD + [(10 + i, prose(rng, 700 * (i % 3) + 5), "") for i in range(12)]
+    # Special marks inside, next to and apart from words, whole and in other letters.
+    rows += [(30, "a<|endoftext|>b <|startoftext|> c.<|endoftext|><|endoftext|>\n<|ENDOFTEXT|> <|endof text|> <|endoftext|", "")]
     got = packing.pack(spark.createDataFrame(rows, DOCS), path).collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = []
     for d, t, _ in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -360,46 +361,103 @@ def test_quality(spark):
     assert not got[12].kept and got[13].base_failed and got[13].n_repeat_words == 120 and not got[2].kept
 
 
+def test_quality_keeps_columns_with_clashing_names(spark):
+    rows = [(1, "words here. " * 60, "w", "full", "ok", "n"), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _w string, _full string, _ok string, N_Words string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert (got[1]._w, got[1]._full, got[1]._ok, got[1].N_Words if "N_Words" in got[1] else got[1].n_words) == ("w", "full", "ok", 120)
+    assert quality.quality(df.limit(0)).count() == 0
+    assert quality.quality(df, prefix="_q_").columns[:6] == df.columns
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     bad = ["vile", "scumlike", "horridness"]
-    train = [(prose(rng, 40) + (f" {rng.choice(bad)} {rng.choice(bad)}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    train = [(prose(rng, 40) + (f" {rng.choice(bad)} {rng.choice(bad)}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(480)]
     model = toxicity.train_toxicity(spark.createDataFrame(train, "text string, toxic int"))
     fresh = [(i, prose(rng, 40) + (f" {rng.choice(bad)}" if i < 20 else ""), "") for i in range(40)] + ODD
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(fresh, DOCS), model).collect()}
     assert sum(got[i] >= 0.7 for i in range(20, 40)) == 0 and sum(got[i] > max(got[j] for j in range(20, 40)) for i in range(20) if i > 5) >= 12
     assert all(0.0 <= s <= 1.0 for s in got.values())
     none = toxicity.train_toxicity(spark.createDataFrame([], "text string, toxic int"))
-    assert none.scores(["", "x"]).tolist() == [0.0, 0.0]
+    assert none.scores(["", "x", None]).tolist() == [0.0, 0.0, 0.0]
+    empty = spark.createDataFrame([], DOCS + ", Score string")
+    assert toxicity.score_toxicity(empty, model).columns == ["doc_id", "text", "extra", "score"]
+
 
+def test_toxicity_distances_equal_plain_compression(spark):
+    """Distances are differences of the lengths that zstandard gives for whole windows of several words, nothing else."""
+    import zstandard
 
-def test_toxicity_scores_do_not_follow_the_sample_size(spark, monkeypatch):
+    rng = random.Random(11)
+    train = [(prose(rng, 60) + (" horridness vilest" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train_toxicity(spark.createDataFrame(train, "text string, toxic int"))
+    assert len(model.toxic) == len(model.ordinary) and b"horridness" in model.toxic and b"horridness" not in model.ordinary
+    texts = [prose(rng, 100) + " Horridness.\nIt is", None, "", "one", "x" * 100_000, "word " * 20_000]
+    for t in texts:
+        words = (t or "").lower().split()
+        want = []
+        for k in range(0, max(len(words), 1), 8):
+            data = b" " + " ".join(words[k : k + 8]).encode() + b" " + b"\n" * 8
+            fresh = [toxicity.CompressionModel.compressor(d) for d in (model.ordinary, model.toxic)]
+            sizes = [len(c.compress(data)) for c in fresh]
+            for c, n, d in zip(fresh, sizes, (model.ordinary, model.toxic)):
+                again = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                assert n == len(c.compress(data)) and again.decompress(c.compress(data), max_output_size=len(data)) == data
+            want.append(sizes[0] - sizes[1])
+            if len(want) == 40:
+                break
+        assert model.distances(t)[:40].tolist() == want and len(model.distances(t)) == max(1, -(-len(words) // 8))
+
+
+def test_toxicity_query_learns_nothing_from_held_out_labels(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + (" horridness" if i % 3 == 0 else "")) for i in range(300)] + [(None, None), (5, "copy"), (5, "copy")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
+    results = []
+    for flip in (0, 1):
+        labels = [(i, 1, int(i % 3 == 0) ^ (flip if i in held else 0)) for i in range(300)]
+        path = f"{tmp_path}/{flip}"
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        results.append(sorted((tuple(r) for r in queries.op7_toxicity(spark, path).select("doc_id", "held_out", "score", "predicted").collect()), key=repr))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    for doc_id, out, score, predicted in results[0]:
+        assert out == (zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 3 == 1) and predicted == int(score >= 0.7)
+    caught = [p for i, out, _, p in results[0] if out and i is not None and i % 3 == 0]
+    assert sum(caught) > 0.9 * len(caught)
+
+
+def test_toxicity_scores_do_not_follow_the_sample_size(spark):
     rng = random.Random(15)
     bad = ["vile", "scumlike", "horridness"]
     # One marker word is in all toxic texts and in some others, so the share of toxic texts matters.
-    train = [(f"{prose(rng, 30)} {rng.choice(bad) if i % 9 == 0 or i % 13 == 0 else ''}", int(i % 9 == 0)) for i in range(3600)]
+    train = [(f"{prose(rng, 30)} {rng.choice(bad) if i % 9 == 0 or i % 13 == 0 else ''}", int(i % 9 == 0)) for i in range(7200)]
     df = spark.createDataFrame(train, "text string, toxic int").coalesce(1)
     fresh = [f"{prose(rng, 30)} {w}" for w in bad] * 10 + [prose(rng, 30) for _ in range(30)]
-    whole = toxicity.train_toxicity(df).scores(fresh)
-    monkeypatch.setattr(toxicity, "CALIBRATION", 400)
-    capped = toxicity.train_toxicity(df).scores(fresh)
-    assert 0.3 < whole[:30].mean() < 0.8 and abs(capped[:30].mean() - whole[:30].mean()) < 0.08
+    whole = toxicity.train_toxicity(df, per_class=10_000).scores(fresh)
+    capped = toxicity.train_toxicity(df, per_class=400).scores(fresh)
+    assert 0.3 < whole[:30].mean() < 0.8 and abs(capped[:30].mean() - whole[:30].mean()) < 0.1
     assert abs(capped[30:].mean() - whole[30:].mean()) < 0.02
 
 
-def test_rare_toxic_words_are_markers(spark):
-    # 8 of 2,500 toxic texts and no ordinary one hold the word.
-    train = [(f"text{i} of words{' horridness' if i % 8 == 0 and i < 64 else ''}", int(i % 8 == 0)) for i in range(20_000)]
+def test_toxic_words_with_many_endings_are_segments(spark):
+    # No single word is frequent, their common beginning is; near copies of one text are no evidence.
+    rng = random.Random(16)
+    copied = prose(rng, 30)
+    train = [(f"{prose(rng, 30)} {'horri' + prose(rng, 1)[:4] if i % 8 == 0 else ''}", int(i % 8 == 0)) for i in range(1600)]
+    train += [(f"{copied} {prose(rng, 1)}", 1) for _ in range(12)]
     model = toxicity.train_toxicity(spark.createDataFrame(train, "text string, toxic int"))
-    assert b" horridness " in model.toxic
+    assert b" horri " in model.toxic and copied.split()[7].encode()[:5] not in model.toxic[len(model.toxic) - 40 :]
 
 
 def test_chat_round_trip(spark):
     control = "<|im_end|><|im_start|>assistant ok"
-    rows = [(1, 0, "user", control), (1, 1, "assistant", control + "<\\|<"), (1, 2, "we\nird\\n<|", "\n"), (2, 0, None, None), (None, 1, "assistant", "é\u00a0x"), (None, 1, "assistant", "é\u00a0x")]
+    rows = [(1, 0, "user", control), (1, 1, "assistant", control + "<\\|<"), (1, 2, "we\nird\\n<|", "\n"), (2, 0, None, None), (3, 0, "a\x00\x01b\\", "\x00\x01"), (3, 1, "\\n\\\\n\n\\", ""), (3, 2, "\\\n<\\|", ""), (None, 1, "assistant", "é\u00a0x"), (None, 1, "assistant", "é\u00a0x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.parse_chats(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))).collect()}
-    for key in (1, 2, None):
+    for key in (1, 2, 3, None):
         mine = [(r or "", t or "") for c, _, r, t in rows if c == key]
         assert [(t.role, t.text) for t in got[key].turns] == mine
         assert "".join(got[key].loss_text) == "".join(t for r, t in mine if r == "assistant")
