@@ -172,3 +172,56 @@ def test_scorers(spark):
     rows = with_blocks(with_node)
     out = as_scorer(EditScorer(model)).pairs(pair_blocks(rows, rows, ["slot"]), ["slot"])
     assert out.count() == 9
+
+
+def block_lists(blocks, nodes=None):
+    import pyarrow as pa
+
+    def side(i, names):
+        rows = [[{"word": w, "node_id": k % names if names else 0} for k, w in enumerate(b[i])] for b in blocks]
+        return pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("node_id", pa.int64())])))
+
+    return side(0, 0), side(1, nodes)
+
+
+@pytest.mark.parametrize("letters, longest, rows", [("ab", 6, 1), ("abʤ", 12, 3), ("abʤ", 90, 2)])
+def test_tries_score_every_pair_as_alone(letters, longest, rows, monkeypatch):
+    """Blocks with equal, empty and long words: the shared tables hold what each pair gives on its own."""
+    import random
+
+    from wordkin.operators import alignment
+    from wordkin.operators.costs import CostTable
+
+    rng = random.Random(longest)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(60)]
+    words += [w + w[:3] for w in words[:20]] + ["", ""]
+    blocks = [([rng.choice(words) for _ in range(rng.randint(0, 25))], [rng.choice(words) for _ in range(rng.randint(0, 25))]) for _ in range(30)]
+    n = len(letters) + 1
+    np_rng = np.random.default_rng(3)
+    cells = np.log(np_rng.uniform(0.01, 0.3, (rows, n, n)))
+    costs = CostTable("\0" + letters, list(range(rows)), cells, np_rng.uniform(-1, 0, rows), rows == 1)
+    lists = block_lists(blocks, rows)
+    got = {}
+    for least in (0, 16, 10**9):
+        monkeypatch.setattr(alignment, "TRIE_PAIRS", least)
+        got[least] = alignment.score_blocks(*lists, costs)
+        assert got[least].offsets.to_pylist()[-1] == sum(len(a) * len(b) for a, b in blocks)
+    for least in (0, 16):
+        np.testing.assert_allclose(np.asarray(got[least].values), np.asarray(got[10**9].values), rtol=1e-12)
+    monkeypatch.setattr(alignment, "TRIE_PAIRS", 0)
+    monkeypatch.setattr(alignment.tries, "CELLS", 50)
+    np.testing.assert_allclose(np.asarray(alignment.score_blocks(*lists, costs).values), np.asarray(got[0].values), rtol=1e-12)
+
+
+def test_equal_words_of_a_block_are_one_entry():
+    """A word in four languages adds no cells under shared costs, and one set of nodes a cost row otherwise."""
+    from wordkin.operators import tries
+
+    letters = np.array([[0, 1, 2], [0, 1, 3], [0, -1, -1]])
+    length = np.array([3, 3, 1])
+    for rows in (1, 4):
+        block = np.zeros(12, np.int64)
+        entries = tries.distinct(block, np.arange(12) % rows, np.repeat([0, 1, 2], 4))
+        trie = tries.PrefixTrie(*entries[:3], letters, length, 1)
+        assert trie.size.tolist() == [{1: 5, 4: 20}[rows]]
+        assert len(entries[0]) == 3 * rows

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from wordkin.operators import tries
 from wordkin.symbols import EMPTY
 
 CELLS = 1_500_000
@@ -17,6 +18,10 @@ SLICE_PAIRS = 400_000
 # exp() of this stays a normal double; longer pairs are summed in log space.
 PLAIN_LIMIT = 600.0
 TINY_COUNT = 1e-7
+# Blocks of fewer pairs, of more cells, or of batches with longer words times words, are scored pair by pair.
+TRIE_PAIRS = 16
+MAX_TABLE = 64_000_000
+MAX_LETTERS = 40_000_000
 
 
 class _Plain:
@@ -67,6 +72,31 @@ class _Words:
         self.length = np.array([len(w) for w in words], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]) if len(words) else np.zeros(0, np.int64)
 
+    def _sort(self):
+        """Distinct words in the order of their codes: ranks, letters as one matrix, lengths."""
+        width = int(self.length.max(initial=0))
+        every = np.full((len(self.length), width), -1, np.int64)
+        owner = np.repeat(np.arange(len(self.length)), self.length)
+        every[owner, np.arange(len(owner)) - self.start[owner]] = self.codes[:-1]
+        order = np.lexsort(every.T[::-1]) if width else np.arange(len(self.length))
+        self._rank = np.empty(len(order), np.int64)
+        self._rank[order] = np.arange(len(order))
+        self._sorted = every[order], self.length[order]
+
+    @property
+    def rank(self) -> np.ndarray:
+        if not hasattr(self, "_rank"):
+            self._sort()
+        return self._rank
+
+    @property
+    def letters(self) -> np.ndarray:
+        return self.rank is not None and self._sorted[0]
+
+    @property
+    def sorted_length(self) -> np.ndarray:
+        return self._sorted[1]
+
     def padded(self, which: np.ndarray, width: int) -> np.ndarray:
         """(width, pairs) codes; cells past the end of a word repeat its last position safely."""
         at = self.start[which][None, :] + np.arange(width)[:, None]
@@ -184,29 +214,74 @@ def slices(batch: pa.RecordBatch):
 
 
 def score_blocks(parents: pa.ListArray, children: pa.ListArray, costs) -> pa.ListArray:
-    """One score list per block row, parent-major over parents x children."""
+    """One score list per block row, parent-major over parents x children.
+
+    Words of a batch are told apart once. Blocks are scored over prefix tries; a block whose words share too
+    little, or whose table would be too large, is scored pair by pair."""
     po = np.asarray(parents.offsets, dtype=np.int64)
     co = np.asarray(children.offsets, dtype=np.int64)
     np_, nc = np.diff(po), np.diff(co)
-    size = np_ * nc
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    block = np.repeat(np.arange(len(size)), size)
-    k = np.arange(offsets[-1]) - offsets[:-1][block]
+    offsets = np.concatenate([[0], np.cumsum(np_ * nc)])
     p = parents.values.field("word").slice(po[0], po[-1] - po[0])
     c = children.values.field("word").slice(co[0], co[-1] - co[0])
     both = pa.concat_arrays([p.cast(pa.string()), c.cast(pa.string())]).dictionary_encode()
     index = np.asarray(both.indices, dtype=np.int64)
     words = _Words(both.dictionary, costs)
-    pi = po[:-1][block] - po[0] + k // nc[block]
-    ci = co[:-1][block] - co[0] + k % nc[block]
+    pw, cw = index[: len(p)], index[len(p) :]
     if costs.shared:
-        row = np.zeros(len(k), dtype=np.int64)
+        row = np.zeros(len(cw), dtype=np.int64)
     else:
         nodes = children.values.field("node_id").slice(co[0], co[-1] - co[0]).dictionary_encode()
-        of = costs.row_of(nodes.dictionary.to_pylist())
-        row = of[np.asarray(nodes.indices, dtype=np.int64)][ci]
-    lps = score_pairs(words, index[: len(p)][pi], index[len(p) :][ci], row, costs)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lps, pa.float64()))
+        row = costs.row_of(nodes.dictionary.to_pylist())[np.asarray(nodes.indices, dtype=np.int64)]
+    out = np.empty(offsets[-1])
+    block = np.arange(len(np_))
+    pb, cb = np.repeat(block, np_), np.repeat(block, nc)
+    ends = words.length + 1
+    weight = [np.bincount(b, weights=ends[w], minlength=len(block)) for b, w in ((pb, pw), (cb, cw))]
+    table = weight[0] * weight[1]
+    longest = int(words.length.max(initial=0))
+    alone = (np_ * nc < TRIE_PAIRS) | (table > MAX_TABLE) | (longest * len(words.length) > MAX_LETTERS)
+    for some in (np.flatnonzero(alone), *_table_slices(np.flatnonzero(~alone & (np_ * nc > 0)), table)):
+        if not len(some):
+            continue
+        size = np_[some] * nc[some]
+        owner = np.repeat(np.arange(len(some)), size)
+        k = np.arange(size.sum()) - (np.cumsum(size) - size)[owner]
+        at = offsets[:-1][some][owner] + k
+        pi, ci = (po[:-1][some] - po[0])[owner] + k // nc[some][owner], (co[:-1][some] - co[0])[owner] + k % nc[some][owner]
+        if alone[some[0]]:
+            out[at] = score_pairs(words, pw[pi], cw[ci], row[ci], costs)
+        else:
+            out[at] = _score_tables(words, some, pb, pw, cb, cw, row, pi, ci, costs)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.float64()))
+
+
+def _table_slices(blocks: np.ndarray, table: np.ndarray):
+    """Blocks cut into runs with a bounded number of cells (if no prefixes were shared)."""
+    part = np.cumsum(table[blocks]) // (4 * tries.CELLS)
+    return np.split(blocks, np.flatnonzero(np.diff(part)) + 1)
+
+
+def _score_tables(words, blocks, pb, pw, cb, cw, row, pi, ci, costs) -> np.ndarray:
+    """Scores of the pairs (pi, ci) of some blocks, all of whose words become tries."""
+    local = np.full(max(pb.max(), cb.max()) + 1, -1)
+    local[blocks] = np.arange(len(blocks))
+    sides, ends = [], []
+    for b, w, r in ((pb, pw, np.zeros(len(pw), np.int64)), (cb, cw, row)):
+        mine = np.flatnonzero(local[b] >= 0)
+        db, dr, dw, where = tries.distinct(local[b[mine]], r[mine], words.rank[w[mine]])
+        trie = tries.PrefixTrie(db, dr, dw, words.letters, words.sorted_length, len(blocks))
+        end = np.empty(len(b), np.int64)
+        end[mine] = trie.end[where]
+        sides.append(trie)
+        ends.append(end)
+    n = costs.n
+    logs, plain, lowest = costs.views()
+    deepest = sum(len(t.block) - 1 for t in sides)
+    ring = _Plain if (deepest + 2) * abs(lowest) < PLAIN_LIMIT else _Log
+    total, base = tries.grid_sums(*sides, plain if ring is _Plain else logs, n, ring)
+    here = local[pb[pi]]
+    return ring.leave(total[base[here] + ends[0][pi] * sides[1].size[here] + ends[1][ci]]) + costs.stop[row[ci]]
 
 
 def count_batch(batch: pa.RecordBatch, costs, per_pair: bool) -> pa.RecordBatch:

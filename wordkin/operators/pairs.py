@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from wordkin.functions.text import bigram_set, dice
 from wordkin.operators import alignment
 from wordkin.operators.edit_model import EditModel
-from wordkin.session import python_ready, small
+from wordkin.session import cut, python_ready, small
 
 BLOCK = 256
 PAIRS_PER_TASK = 4_000_000
@@ -171,7 +171,7 @@ def as_scorer(scorer) -> ColumnScorer | EditScorer | FunctionScorer:
 
 def slot_blocks(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """All parent-child blocks over the distinct words of each slot."""
-    legal = with_blocks(words.select("slot", "word").distinct(), block=block)
+    legal = cut(with_blocks(cut(words.select("slot", "word").distinct()), block=block))
     p = legal.withColumn("p", F.struct("word"))
     c = legal.withColumn("c", F.struct("word"))
     return pair_blocks(p, c, ["slot"], count_pairs(legal, legal))

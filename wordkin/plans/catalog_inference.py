@@ -173,6 +173,22 @@ def gold_pairs(spark, sf) -> DataFrame:
 GOLD_PAIRS = "gp AS (SELECT DISTINCT t.parent, w.word AS child FROM wl w JOIN (SELECT gold_id, max(word) AS parent FROM wl GROUP BY 1) t USING (gold_id))"
 
 
+# The sum over all alignments, one parent letter a step: row i holds the sums up to every place of the child. With one
+# insertion cost, the sum over insertions after a match is a sum over where they begin.
+ALIGNMENT_SUM = """q AS (SELECT exp(-4.0::DOUBLE) AS w, (n - 1) * exp(-4.0::DOUBLE) + 1 + (n + 1) * exp(-4.0::DOUBLE) AS z, n
+    FROM (SELECT (count(*) + 1)::DOUBLE AS n FROM (SELECT DISTINCT unnest(string_split(word, '')) FROM wl))),
+  al AS (SELECT parent, child, 0 AS i, w / z AS gap, 1 / z AS same, n, list_transform(range(0, length(child) + 1), lambda j: pow(w / z, j)) AS t FROM gp CROSS JOIN q
+    UNION ALL SELECT parent, child, i + 1, gap, same, n, list_transform(range(0, length(child) + 1), lambda j: gap * t[j + 1] + coalesce(list_sum(list_transform(range(0, j),
+      lambda k: pow(gap, j - 1 - k) * t[k + 1] * CASE WHEN parent[i + 1] = child[k + 1] THEN same ELSE gap END)), 0)) AS t
+    FROM (SELECT parent, child, i, gap, same, n, t FROM al WHERE i < length(parent)))"""
+
+
+@query("e2_alignment_sum", with_(WL, GOLD_PAIRS, ALIGNMENT_SUM, recursive=True) +
+  "SELECT parent, child, round(ln(t[length(child) + 1]) + ln(1 - n * gap), 6) AS lp FROM al WHERE i = length(parent)")
+def _(spark, sf):
+    return score_pairs(gold_pairs(spark, sf), first_model(spark, sf)).select("parent", "child", F.round("lp", 6).alias("lp"))
+
+
 @query("e3_expected_alignments", with_(WL, GOLD_PAIRS) + "SELECT parent, child, length(parent)::DOUBLE AS parent_chars, length(child)::DOUBLE AS child_chars FROM gp")
 def _(spark, sf):
     rows = expected_alignments(gold_pairs(spark, sf), first_model(spark, sf), per_pair=True)
