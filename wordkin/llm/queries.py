@@ -98,17 +98,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with a toxicity label, of the ids that training may use."""
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.CompressionModel:
+    """Trained on the texts with a toxicity label, of the ids that training may use; texts and labels meet by hash."""
     labels = table(spark, sf_dir, "labels").where(id_bucket(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
-    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(toxicity.TEXT_HASH)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hashed)
-    return docs.join(labels, "doc_id").select("text", "toxic", toxicity.TEXT_HASH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = docs.select("doc_id", toxicity.text_hash()).join(labels, "doc_id")
+    return toxicity.train_toxicity(marks, texts=docs)
 
 
 @query()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train_toxicity(labelled_texts(spark, sf_dir))
+    model = toxicity_model(spark, sf_dir)
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return scored.select(
         "doc_id",

@@ -8,18 +8,19 @@ windows that reach each of LEVELS) gives the score.
 Training. Both dictionaries begin with the content that zstandard's own trainer picks from windows of both
 classes without toxic segments, so what all texts have in common costs the same in both. The toxic one goes on with segments
 (beginnings of words) that are significantly more frequent in toxic texts, strongest last, the ordinary one
-with as many bytes of the most frequent other segments of ordinary texts. The curve is fitted to labelled
-texts that the dictionaries have not seen, each weighing as many texts of its class as it stands for, so
+with as many bytes of the most frequent other segments of ordinary texts. The curve is fitted to distances
+by dictionaries that have not seen the text (each half of the sample is measured by dictionaries from the
+other one; those from all of it then score). Each text weighs as many of its class as it stands for, so
 scores are probabilities at the share of toxic texts in the input, whatever its size. Labels, languages,
 sources and ids are never inputs of a score.
 
-Only bounded samples of labelled texts are looked at (documented parameters): SAMPLE texts per class for
-the dictionaries and SAMPLE per class for the curve, those with the smallest hashes; equal texts count
-once, and so do texts of one class with the same smallest shingle, which most near copies share; of the former, TRAINED windows per class for the trainer. All hashes are compared as numbers; only
-the texts of the sample are moved.
+Only a bounded sample of labelled texts is looked at (documented parameters): SAMPLE texts per class, those
+with the smallest hashes, and TRAINED windows of them per class for the trainer. Equal texts count once,
+and so do texts of one class with the same smallest shingle, which most near copies share. Hashes are
+compared as numbers; only the texts of the sample are moved.
 
 Defined results: a null text counts as empty and gets the score of a text without windows, a number like
-any other; without labelled texts of both classes in both samples every score is the share of toxic labels
+any other; without labelled texts of both classes in the sample every score is the share of toxic labels
 (0 without labels); equal texts get equal scores; rows are never dropped and extra columns are passed
 through, but for input columns of the score's name, which are replaced.
 """
@@ -34,13 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wordkin.llm.common import with_fields, without
 from wordkin.llm.copies import Shingler
-from wordkin.session import cut, small
+from wordkin.session import cut
 
-SAMPLE = 2_500
+SAMPLE = 5_000
 TRAINED = 20_000
 WINDOW = 8
 COMMON = 4_096
@@ -164,25 +165,27 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(self._scaled(np.array([self.features(t) for t in texts])) @ self.weights, -30, 30)))
 
 
-def draw(labelled: DataFrame, text: str, label: str, per_class: int) -> tuple[DataFrame, tuple[int, int]]:
-    """(sample(text, y, fits), texts without and with a toxic label): distinct labelled texts with the smallest hashes.
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(TEXT_HASH)
 
-    fits marks the half that the curve is fitted to. Up to 2 * per_class texts of each class are drawn. A caller that
-    joins texts and labels may give the hash of the text as TEXT_HASH, made before the join."""
-    held = F.coalesce(F.col(text), F.lit(""))
-    digest = F.col(TEXT_HASH) if TEXT_HASH in labelled.columns else F.xxhash64(held)
-    rows = labelled.where(F.col(label).isin(0, 1)).select(held.alias("text"), digest.alias("h"), F.col(label).cast("int").alias("y"))
-    marks = cut(rows.select("h", "y").groupBy("h").agg(F.max("y").alias("y")))
+
+def draw(labelled: DataFrame, text: str, label: str, per_class: int, texts: DataFrame | None = None) -> tuple[DataFrame, tuple[int, int]]:
+    """(sample(text, y, half), texts without and with a toxic label): distinct labelled texts with the smallest hashes.
+
+    Up to per_class texts of each class are drawn and dealt to two halves, near copies to one. Where texts is given, labelled holds their hashes only (TEXT_HASH), and no text but the drawn ones is moved."""
+    if texts is None:
+        texts = labelled
+        labelled = labelled.select(text_hash(text), label)
+    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(TEXT_HASH).alias("h"), F.col(label).cast("int").alias("y"))
+    marks = cut(known.groupBy("h").agg(F.max("y").alias("y")))
     total = marks.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
     drawn = None
     for y in (0, 1):
-        own = marks.where(F.col("y") == y).orderBy("h").limit(2 * per_class)
+        own = marks.where(F.col("y") == y).orderBy("h").limit(per_class)
         drawn = own if drawn is None else drawn.unionAll(own)
-    drawn = cut(drawn)
-    # The bound reaches the scan, so a join of texts and labels moves only what may be drawn.
-    highest = drawn.agg(F.max("h")).first()[0]
-    near = rows.drop("y").where(F.col("h") <= F.lit(highest))
-    sample = near.join(small(drawn), "h").dropDuplicates(["h"]).select("text", "y", "h")
+    given = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"), text_hash(text).alias("h"))
+    # At most 2 * per_class rows.
+    sample = given.join(F.broadcast(cut(drawn)), "h").dropDuplicates(["h"]).select("text", "y", "h")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -192,7 +195,7 @@ def draw(labelled: DataFrame, text: str, label: str, per_class: int) -> tuple[Da
 
     # Near copies mostly have the same smallest shingle; one of them says what all say.
     sample = sample.mapInArrow(sketch, "text string, y int, h long, least long").dropDuplicates(["least", "y"])
-    return cut(sample.select("text", "y", (F.pmod(F.xxhash64("least"), F.lit(2)) == 0).alias("fits"))), (total[0] - total[1], total[1])
+    return cut(sample.select("text", "y", F.pmod(F.xxhash64("least"), F.lit(2)).alias("half"))), (total[0] - total[1], total[1])
 
 
 def count_segments(sample: DataFrame) -> DataFrame:
@@ -224,17 +227,13 @@ def sample_windows(sample: DataFrame, most: int) -> list[bytes]:
     return [bytes(r["w"]) for y in (0, 1) for r in every.where(F.col("y") == y).orderBy(order, "w").limit(most).collect()]
 
 
-def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> CompressionModel:
-    """labelled: one row per labelled training text, label 0 or 1; rows without a label are ignored."""
-    spark = labelled.sparkSession
-    sample, sizes = draw(labelled, text, label, per_class)
-    prior = sizes[1] / sum(sizes) if sum(sizes) else 0.0
-    seen, fits = sample.where(~F.col("fits")), sample.where("fits")
-    halves = {(r["fits"], r["y"]): r["count"] for r in sample.groupBy("fits", "y").count().collect()}
-    if len(halves) < 4:
-        return CompressionModel(b"", [], [], prior)
-    n0, n1 = halves[False, 0], halves[False, 1]
-    counts = cut(count_segments(seen))
+def build(sample: DataFrame, prior: float) -> CompressionModel | None:
+    """The dictionaries from the texts of a sample; None if it lacks a class."""
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return None
+    n0, n1 = sizes[0], sizes[1]
+    counts = cut(count_segments(sample))
     a, b = F.col("a"), F.col("b")
     rate = (a + b) / (n0 + n1)
     g2 = F.round(2 * (a * F.log(a / (n1 * rate)) + F.when(b > 0, b * F.log(b / (n0 * rate))).otherwise(0.0)), 6)
@@ -246,18 +245,38 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
     usual = [s for s in usual if not any(s in t or t in s for t in toxic)]
     # What is common to both classes is trained without the toxic segments.
     marks = re.compile("|".join(map(re.escape, toxic)).encode("utf-8")) if toxic else re.compile(rb"\b\B")
-    common = trained([w for w in sample_windows(seen, TRAINED) if not marks.search(w)], COMMON)
-    model = CompressionModel(common, toxic, usual, prior)
+    common = trained([w for w in sample_windows(sample, TRAINED) if not marks.search(w)], COMMON)
+    return CompressionModel(common, toxic, usual, prior)
+
+
+def measure(sample: DataFrame, model: CompressionModel) -> list:
+    """(features, label) of the texts of a bounded sample."""
+    spark = sample.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    got = fits.select("text", "y").repartition(spark.sparkContext.defaultParallelism).mapInArrow(measure, "x array<double>, y int").collect()
-    model.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), sizes)
-    return model
+    return sample.select("text", "y").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "x array<double>, y int").collect()
+
+
+def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = SAMPLE, texts: DataFrame | None = None) -> CompressionModel:
+    """labelled: one row per labelled training text, label 0 or 1; rows without a label are ignored. A caller whose
+    labels lie in another table gives the texts and joins only their hashes with the labels (see draw)."""
+    sample, sizes = draw(labelled, text, label, per_class, texts)
+    prior = sizes[1] / sum(sizes) if sum(sizes) else 0.0
+    got = []
+    for half in (0, 1):
+        model = build(sample.where(F.col("half") != half), prior)
+        if model:
+            got += measure(sample.where(F.col("half") == half), model)
+    whole = build(sample, prior)
+    if not whole or len({r["y"] for r in got}) < 2:
+        return CompressionModel(b"", [], [], prior)
+    whole.fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), sizes)
+    return whole
 
 
 def score_toxicity(df: DataFrame, model: CompressionModel, text: str = "text", score: str = "score") -> DataFrame:
