@@ -94,8 +94,9 @@ class CompressionModel:
         # The strongest segments come last, next to the window.
         marked = (" " + "  ".join(reversed(toxic)) + " ").encode()
         usual = (" " + "  ".join(reversed(ordinary)) + " ").encode()
-        self.toxic = common + marked
-        self.ordinary = common + usual[-len(marked) :].rjust(len(marked))
+        # The compressor does not index the last bytes of a dictionary either.
+        self.toxic = common + marked + PADDING
+        self.ordinary = common + usual[-len(marked) :].rjust(len(marked)) + PADDING
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "tools"}
