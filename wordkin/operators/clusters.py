@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordkin.functions.text import bigram_set, dice, keyed_share
+from wordkin.functions.text import bigram_set, keyed_share
+from wordkin.operators.overlap import overlaps
 from wordkin.operators.pairs import count_pairs, explode_pairs, pair_blocks, with_blocks
 from wordkin.operators.trees import closure, leaves, observed_nodes
 from wordkin.session import cut, small
@@ -13,6 +14,8 @@ from wordkin.session import cut, small
 # Dice threshold of the baseline, added count of the survival estimate.
 DICE_THRESHOLD = 0.2
 ADDED_DEATHS = 0.5
+# Below the Dice coefficient of any two sets with a common element.
+ANY_COMMON = 1e-9
 
 
 def merge_groups(words: DataFrame, moves: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -119,43 +122,22 @@ def group_bigrams(words: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Dice of every (left.id, right.id) of a slot, streamed out of pair blocks."""
-    both = with_blocks(
-        left.select("slot", F.col("id").alias("word"), "bigrams", F.lit(True).alias("_left")).unionAll(
-            right.select("slot", F.col("id").alias("word"), "bigrams", F.lit(False))
-        )
-    )
-    item = F.struct("word", "bigrams")
-    a, b = both.filter("_left").withColumn("p", item), both.filter("not _left").withColumn("c", item)
-    blocks = pair_blocks(a, b, ["slot"], count_pairs(left, right))
-    return explode_pairs(blocks, ["slot"]).select(
-        "slot",
-        F.col("p.word").alias("left_id"),
-        F.col("c.word").alias("right_id"),
-        dice(F.col("p.bigrams"), F.col("c.bigrams")).alias("dice"),
-    )
-
-
 def best_partners(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(slot, left_id, right_id, dice): mutual best partners at or above the threshold.
-
-    Both picks are aggregates over the pair stream; ties go to the larger id.
-    """
-    pairs = _overlaps(left, right).filter(F.col("dice") >= threshold)
-    for_right = pairs.groupBy("slot", "right_id").agg(
-        F.max_by("left_id", F.struct("dice", "left_id")).alias("left_id"), F.max("dice").alias("dice")
-    )
-    for_left = pairs.groupBy("slot", "left_id").agg(F.max_by("right_id", F.struct("dice", "right_id")).alias("right_id"))
-    return for_right.join(for_left, ["slot", "left_id", "right_id"])
+    """(slot, left_id, right_id, dice): mutual best partners at or above the threshold; ties go to the larger id."""
+    found = cut(overlaps(left, right, threshold))
+    for_left = found.where("side = 0").select("slot", F.col("id").alias("left_id"), F.col("partner").alias("right_id"), "dice")
+    for_right = found.where("side = 1").select("slot", F.col("partner").alias("left_id"), F.col("id").alias("right_id"))
+    return for_left.join(for_right, ["slot", "left_id", "right_id"])
 
 
 def word_group_dice(words: DataFrame, language: str, cluster: str = "cluster_id") -> DataFrame:
     """Best Dice of each word of a language with the groups of its slot, own language left out."""
-    groups = group_bigrams(words.filter(F.col("language") != language), ["slot", cluster]).withColumnRenamed(cluster, "id")
+    groups = cut(group_bigrams(words.filter(F.col("language") != language), ["slot", cluster]).withColumnRenamed(cluster, "id"))
     own = words.filter(F.col("language") == language).select("slot", F.col("word").alias("id"), bigram_set(F.col("word")).alias("bigrams")).distinct()
-    return _overlaps(groups, own).groupBy("slot", F.col("right_id").alias("word")).agg(
-        F.max("dice").alias("dice"), F.count("*").alias("groups")
+    best = overlaps(groups, own, ANY_COMMON).where("side = 1").select("slot", "id", "dice")
+    count = groups.groupBy("slot").agg(F.count("*").alias("groups"))
+    return own.join(count, "slot").join(best, ["slot", "id"], "left").select(
+        "slot", F.col("id").alias("word"), F.coalesce("dice", F.lit(0.0)).alias("dice"), "groups"
     )
 
 
@@ -186,24 +168,38 @@ def assign_gold(words: DataFrame, gold_words: DataFrame, cluster: str = "cluster
     """Gold word of every group: the word that at least two members agree on, else mutual
     best bigram overlap with the gold words of the slot still free, round by round.
 
-    ``words(slot, cluster_id, word, gold_word)``, ``gold_words(slot, gold_word)``. Each
-    round settles at least the best open pair of every slot; the rest stay without one.
+    ``words(slot, cluster_id, word, gold_word)``, ``gold_words(slot, gold_word)``. The overlaps of all open
+    groups and gold words are scored once. A round settles every pair that neither side could better, and
+    drops the pairs of those settled: the result is that of taking the best open pair again and again, but
+    rounds do not follow the size of a slot.
     """
     n = words.groupBy("slot", cluster, "gold_word").agg(F.count("*").alias("n"))
     voted = n.filter("n >= 2").groupBy("slot", cluster).agg(F.max_by("gold_word", F.struct("n", "gold_word")).alias("gold_word"))
     done = cut(voted.withColumn("how", F.lit("vote")))
     groups = group_bigrams(words, ["slot", cluster]).withColumnRenamed(cluster, "id")
     golds = gold_words.select("slot", F.col("gold_word").alias("id"), bigram_set(F.col("gold_word")).alias("bigrams")).distinct()
-    open_groups = cut(groups.join(done.select("slot", F.col(cluster).alias("id")), ["slot", "id"], "left_anti"))
-    open_golds = cut(golds.join(done.select("slot", F.col("gold_word").alias("id")), ["slot", "id"], "left_anti"))
+    open_groups = groups.join(done.select("slot", F.col(cluster).alias("id")), ["slot", "id"], "left_anti")
+    open_golds = golds.join(done.select("slot", F.col("gold_word").alias("id")), ["slot", "id"], "left_anti")
+    pairs = overlaps(open_groups, open_golds, ANY_COMMON, best=False)
+    found = dominant_pairs(pairs).select("slot", F.col("left_id").alias(cluster), F.col("right_id").alias("gold_word"), F.lit("overlap").alias("how"))
+    return done.unionByName(found)
+
+
+def dominant_pairs(pairs: DataFrame) -> DataFrame:
+    """Greedy matching of (slot, left_id, right_id, dice): pairs by falling (dice, left_id, right_id), each taken if both
+    its ends are free. Pairs that are the best of both their ends are settled together, round by round."""
+    live = cut(pairs)
+    settled = None
     while True:
-        found = cut(best_partners(open_groups, open_golds, 1e-9))
+        order = F.struct("dice", "left_id", "right_id")
+        for_left = live.groupBy("slot", "left_id").agg(F.max(order).alias("_t")).select("slot", "left_id", F.col("_t.right_id").alias("right_id"))
+        for_right = live.groupBy("slot", "right_id").agg(F.max(order).alias("_t")).select("slot", F.col("_t.left_id").alias("left_id"), "right_id")
+        found = cut(for_left.join(for_right, ["slot", "left_id", "right_id"]))
         if found.isEmpty():
-            return done
-        done = cut(
-            done.unionByName(
-                found.select("slot", F.col("left_id").alias(cluster), F.col("right_id").alias("gold_word"), F.lit("overlap").alias("how"))
+            return found if settled is None else settled
+        settled = found if settled is None else settled.unionByName(found)
+        live = cut(
+            live.join(found.select("slot", "left_id"), ["slot", "left_id"], "left_anti").join(
+                found.select("slot", "right_id"), ["slot", "right_id"], "left_anti"
             )
         )
-        open_groups = cut(open_groups.join(found.select("slot", F.col("left_id").alias("id")), ["slot", "id"], "left_anti"))
-        open_golds = cut(open_golds.join(found.select("slot", F.col("right_id").alias("id")), ["slot", "id"], "left_anti"))

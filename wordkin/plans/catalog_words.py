@@ -250,7 +250,24 @@ def _(spark, sf):
     return ev.cluster_pairs(groups(spark, sf))
 
 
-@query("j12_gold_assignment")
+# The best open pair of every slot is taken, one a step.
+GREEDY = """pick(slot, g, gold, ug, uw) AS (
+    SELECT slot, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] FROM (SELECT DISTINCT slot FROM ed)
+    UNION ALL SELECT slot, g, gold, list_append(ug, g), list_append(uw, gold) FROM (
+      SELECT p.slot, arg_max(e.g, (d, e.g, e.gold)) AS g, arg_max(e.gold, (d, e.g, e.gold)) AS gold, any_value(ug) AS ug, any_value(uw) AS uw
+      FROM pick p JOIN ed e ON e.slot = p.slot AND NOT list_contains(ug, e.g) AND NOT list_contains(uw, e.gold) GROUP BY p.slot))"""
+
+
+@query("j12_gold_assignment", with_(WL,
+  "gw AS MATERIALIZED (SELECT slot, gold_id, min(word) AS gold_word FROM wl GROUP BY 1, 2)",
+  "ob AS MATERIALIZED (SELECT slot, slot || '|' || length(word) AS g, word, gold_word FROM wl JOIN gw USING (slot, gold_id))",
+  "vo AS MATERIALIZED (SELECT slot, g, arg_max(gold_word, (n, gold_word)) AS gold FROM (SELECT slot, g, gold_word, count(*) AS n FROM ob GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1, 2)",
+  "gs AS (SELECT slot, g, list_distinct(flatten(list(" + "CASE WHEN length(word) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(word)), lambda i: substr(word, i::INT, 2))) END" + "))) AS x FROM ob GROUP BY 1, 2)",
+  "ws AS (SELECT DISTINCT slot, gold_word, " + "CASE WHEN length(gold_word) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length(gold_word)), lambda i: substr(gold_word, i::INT, 2))) END" + " AS y FROM gw)",
+  """ed AS MATERIALIZED (SELECT gs.slot, gs.g, ws.gold_word AS gold, 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) AS d FROM gs JOIN ws USING (slot)
+    WHERE len(list_intersect(x, y)) > 0 AND (gs.slot, gs.g) NOT IN (SELECT slot, g FROM vo) AND (gs.slot, ws.gold_word) NOT IN (SELECT slot, gold FROM vo))""",
+  GREEDY, recursive=True) + """SELECT slot, g AS cluster_id, gold AS gold_word, 'vote' AS how FROM vo
+  UNION ALL SELECT slot, g, gold, 'overlap' FROM pick WHERE g IS NOT NULL""")
 def _(spark, sf):
     w = words(spark, sf)
     gold = w.groupBy("slot", "gold_id").agg(F.min("word").alias("gold_word"))
@@ -365,7 +382,22 @@ def _(spark, sf):
     return cl.match_round(start, "en").select("obs_id", "cluster_id")
 
 
-@query("e6_dice_baseline")
+def _baseline_sql() -> str:
+    """The rounds of all languages one after another, from singletons."""
+    steps = ["r0 AS MATERIALIZED (SELECT obs_id, slot, language, word, slot || '|' || language || '|' || word AS g FROM wl)"]
+    for k, language in enumerate(LANGS):
+        steps.append(f"""wb{k} AS (SELECT DISTINCT slot, word, {BIG.format('word')} AS x FROM r{k} WHERE language = '{language}')""")
+        steps.append(f"""gb{k} AS (SELECT slot, g, list_distinct(flatten(list({BIG.format('word')}))) AS y FROM r{k} WHERE language <> '{language}' GROUP BY 1, 2)""")
+        steps.append(f"""dc{k} AS (SELECT slot, word, g, 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) AS d FROM wb{k} JOIN gb{k} USING (slot) WHERE len(y) > 0)""")
+        steps.append(f"""rk{k} AS (SELECT *, row_number() OVER (PARTITION BY slot, word ORDER BY d DESC, g DESC) AS rw, row_number() OVER (PARTITION BY slot, g ORDER BY d DESC, word DESC) AS rg
+          FROM dc{k} WHERE d >= 0.2)""")
+        steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT w.obs_id, w.slot, w.language, w.word, CASE WHEN w.language <> '{language}' THEN w.g
+          ELSE coalesce(rk{k}.g, w.slot || '|{language}|' || w.word) END AS g FROM r{k} w
+          LEFT JOIN rk{k} ON w.language = '{language}' AND rk{k}.slot = w.slot AND rk{k}.word = w.word AND rk{k}.rw = 1 AND rk{k}.rg = 1)""")
+    return with_(WL, *steps) + f"SELECT obs_id, g AS cluster_id FROM r{len(LANGS)}"
+
+
+@query("e6_dice_baseline", _baseline_sql())
 def _(spark, sf):
     return cl.dice_baseline(words(spark, sf), LANGS).select("obs_id", "cluster_id")
 
