@@ -25,7 +25,7 @@ BEST = "side int, id string, partner string, dice double"
 EDGES = "left_id string, right_id string, dice double"
 
 
-def least_common(size: Column, threshold: float) -> Column:
+def leastcommon_counts(size: Column, threshold: float) -> Column:
     """Common elements that a set of that size needs for the threshold, whatever its partner's size."""
     return F.greatest(F.ceil(size * F.lit(threshold / (2.0 - threshold)) - 1e-9), F.lit(1))
 
@@ -42,7 +42,7 @@ def by_rarity(sets: DataFrame) -> DataFrame:
 def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
     """(slot, gram, id, side, bigrams, before): a set once for each element of its prefix, with those before it."""
     n = F.size("bigrams")
-    length = (n - least_common(n, threshold) + 1).cast("int")
+    length = (n - leastcommon_counts(n, threshold) + 1).cast("int")
     at = F.posexplode(F.slice("bigrams", 1, length)).alias("i", "gram")
     return sets.select("slot", "id", "side", "bigrams", at).withColumn("before", F.slice("bigrams", F.lit(1), F.col("i"))).drop("i")
 
@@ -121,11 +121,11 @@ def compare(left: list[tuple], right: list[tuple], threshold: float, best: bool)
                 if b.isdisjoint(c):
                     dice[i, j] = 2.0 * len(g & h) / (len(g) + len(h))
     else:
-        common = _common([g for _, g, _ in left], [g for _, g, _ in right])
+        common = common_counts([g for _, g, _ in left], [g for _, g, _ in right])
         sizes = [np.array([len(g) for _, g, _ in side], float) for side in (left, right)]
         dice = 2.0 * common / (sizes[0][:, None] + sizes[1][None, :])
         if any(b for _, _, b in left) and any(b for _, _, b in right):
-            dice[_common([b for _, _, b in left], [b for _, _, b in right]) > 0] = 0.0
+            dice[common_counts([b for _, _, b in left], [b for _, _, b in right]) > 0] = 0.0
     dice[dice < threshold] = 0.0
     if not best:
         i, j = np.nonzero(dice)
@@ -142,7 +142,7 @@ def compare(left: list[tuple], right: list[tuple], threshold: float, best: bool)
     return out
 
 
-def _common(left: list[list], right: list[list]) -> np.ndarray:
+def common_counts(left: list[list], right: list[list]) -> np.ndarray:
     """How many elements each two sets share, through the lists of sets that hold an element."""
     code: dict[str, int] = {}
     tables = []

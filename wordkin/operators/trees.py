@@ -1,17 +1,21 @@
 """Tree relations over ``(tree_id, node_id, parent_id, label, branch_length, ordinal, depth)``.
 
-Loops run over the depth of the trees, never over their rows. Every step is a join or an
+Loops run over the depth of the trees, never over their rows (closures over its logarithm). Every step is a join or an
 aggregate keyed by node, so a tree with many nodes spreads over tasks like any table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordkin.functions.ordered import running_total
-from wordkin.session import cut, small
+from wordkin.functions.ordered import ranked, running_total
+from wordkin.operators.overlap import common_counts
+from wordkin.operators.pairs import pair_blocks, with_blocks
+from wordkin.session import cut, python_ready, small
 
 MEMBER = ["tree_id", "node_id"]
 
@@ -39,39 +43,38 @@ def edges(tree: DataFrame) -> DataFrame:
 def closure(tree: DataFrame, depth: int | None = None) -> DataFrame:
     """(tree_id, ancestor, descendant, distance, length), each node being its own ancestor.
 
-    One join per level of the tree: step k lifts every row to its parent. Steps are cut, so
-    step k does not replay the ones before it.
+    Paths double: those shorter than 2^k, lengthened by the jump of 2^k steps from their upper end, are those
+    shorter than 2^(k+1). A tree of depth d takes about log2(d) rounds.
     """
-    tree = cut(tree)
     depth = tree_depth(tree) if depth is None else depth
-    up = tree.select(
-        "tree_id",
-        F.col("node_id").alias("ancestor"),
-        F.col("parent_id").alias("_up"),
-        F.col("branch_length").alias("_len"),
+    jump = tree.filter(F.col("parent_id").isNotNull()).select(
+        "tree_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("_up"), F.col("branch_length").alias("_len")
     )
-    step = tree.select(
+    out = tree.select(
         "tree_id",
         F.col("node_id").alias("ancestor"),
         F.col("node_id").alias("descendant"),
         F.lit(0).alias("distance"),
         F.lit(0.0).alias("length"),
     )
-    out = step
-    for k in range(1, depth + 1):
-        lifted = (
-            step.join(up, ["tree_id", "ancestor"])
-            .filter(F.col("_up").isNotNull())
-            .select(
-                "tree_id",
-                F.col("_up").alias("ancestor"),
-                "descendant",
-                F.lit(k).alias("distance"),
-                (F.col("length") + F.col("_len")).alias("length"),
-            )
+    reach = 1
+    while reach <= depth:
+        longer = out.join(jump, ["tree_id", "ancestor"]).select(
+            "tree_id",
+            F.col("_up").alias("ancestor"),
+            "descendant",
+            (F.col("distance") + reach).alias("distance"),
+            (F.col("length") + F.col("_len")).alias("length"),
+        )
+        out = out.unionByName(longer)
+        reach *= 2
+        if reach > depth:
+            break
+        out = cut(out)
+        next_ = jump.select("tree_id", F.col("ancestor").alias("_up"), F.col("_up").alias("_top"), F.col("_len").alias("_more"))
+        jump = cut(
+            jump.join(next_, ["tree_id", "_up"]).select("tree_id", "ancestor", F.col("_top").alias("_up"), (F.col("_len") + F.col("_more")).alias("_len"))
         )
-        step = lifted if k == depth else cut(lifted)
-        out = out.unionByName(step)
     return out
 
 
@@ -126,57 +129,85 @@ def conflicts_with(clade_rows: DataFrame, family: DataFrame) -> DataFrame:
     return ours.join(found, "_id", "left").select("clade", F.coalesce("conflicts", F.lit(0)).cast("bigint").alias("conflicts"))
 
 
-CONSENSUS_BATCH = 1_000
-
-
-def consensus(support: DataFrame, batch: int = CONSENSUS_BATCH) -> DataFrame:
+# Clades whose conflicts with each other are looked at together.
+CONSENSUS_WINDOW = 2_048
+
+
+def conflict_edges(rows: DataFrame) -> DataFrame:
+    """(above, below): ranks of clades of rows(rank, clade) that conflict, the higher-ranked one first. All pairs of the
+    given rows are compared, block by block."""
+    python_ready(rows.sparkSession)
+    sized = with_blocks(rows.select(F.lit("").alias("slot"), F.col("rank").cast("string").alias("word"), "rank", "clade"))
+    item = F.struct("rank", "clade")
+    blocks = pair_blocks(sized.withColumn("p", item), sized.withColumn("c", item), ["slot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            above, below = [], []
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = ([x["clade"] for x in side] for side in (left, right))
+                common = common_counts(a, b)
+                n, m = (np.array([len(x) for x in side]) for side in (a, b))
+                i, j = np.nonzero((common > 0) & (common < n[:, None]) & (common < m[None, :]))
+                ranks = [np.array([x["rank"] for x in side]) for side in (left, right)]
+                i, j = ranks[0][i], ranks[1][j]
+                above.append(i[i < j])
+                below.append(j[i < j])
+            columns = [pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (above, below)]
+            yield pa.RecordBatch.from_arrays(columns, names=["above", "below"])
+
+    return blocks.select("parents", "children").mapInArrow(run, "above long, below long")
+
+
+def first_in_rank(rows: DataFrame) -> DataFrame:
+    """The rows(rank, ...) that are kept when each is kept unless it conflicts with one kept before.
+
+    Rows that no live row of higher rank conflicts with are kept together, those in conflict with them dropped, until
+    none is live: all on the executors."""
+    edges = cut(conflict_edges(rows))
+    live = cut(rows.select("rank"))
+    kept = live.limit(0)
+    while not live.isEmpty():
+        blocked = edges.join(live.withColumnRenamed("rank", "above"), "above").select(F.col("below").alias("rank")).distinct()
+        free = cut(live.join(blocked, "rank", "left_anti"))
+        kept = kept.unionByName(free)
+        gone = edges.join(free.withColumnRenamed("rank", "above"), "above").select(F.col("below").alias("rank")).distinct()
+        live = cut(live.join(free, "rank", "left_anti").join(gone, "rank", "left_anti"))
+    return rows.join(kept, "rank", "left_semi")
+
+
+def consensus(support: DataFrame, window: int = CONSENSUS_WINDOW) -> DataFrame:
     """Plurality consensus: clades by falling support, each kept if it fits those kept before.
 
-    Rounds: the driver settles only the ``batch`` highest live clades, in order; all other
-    clades are then checked against the newly kept ones on the executors and dropped on
-    conflict. Nothing is cut off: the rounds go on until no live clade is left. Kept clades
-    are free of conflicts, so there are fewer than two per leaf label.
+    Rounds take the ``window`` highest live clades, keep the first in rank among them and drop every live clade that
+    conflicts with one of those. Kept clades are free of conflicts, so there are fewer than two per leaf label.
     """
-    spark = support.sparkSession
-    live = cut(support)
-    schema = live.select("clade", "support").schema
-    kept: list[tuple] = []
+    name = F.array_join("clade", "\u0001")
+    order = [F.desc("support"), F.desc(F.size("clade")), F.asc(name)]
+    live = cut(ranked(support.select("clade", "support"), [], order, -F.col("support"), "rank"))
+    kept = live.limit(0)
     while True:
-        head = ranked_support(live).select("clade", "support").limit(batch).collect()
-        if not head:
-            break
-        fresh: list[tuple] = []
-        sets = []
-        for row in head:
-            s = frozenset(row.clade)
-            if all(not (s & t) or s <= t or t <= s for t in sets):
-                sets.append(s)
-                fresh.append((row.clade, row.support))
-        kept += fresh
-        if len(head) < batch:
-            break
-        new = spark.createDataFrame(fresh, schema)
-        done = spark.createDataFrame([(r.clade,) for r in head], "clade array<string>")
-        rest = live.join(small(done), "clade", "left_anti")
-        good = conflicts_with(rest, new).filter("conflicts = 0").select("clade")
+        last = live.select("rank").orderBy("rank").limit(window).agg(F.max("rank")).first()[0]
+        if last is None:
+            return consensus_parents(cut(kept.select("clade", "support")))
+        fresh = cut(first_in_rank(cut(live.where(F.col("rank") <= last))))
+        kept = kept.unionByName(fresh)
+        rest = live.where(F.col("rank") > last)
+        good = conflicts_with(rest, fresh).filter("conflicts = 0").select("clade")
         live = cut(rest.join(good, "clade", "left_semi"))
-    return consensus_parents(spark.createDataFrame(kept, schema))
 
 
 def consensus_parents(kept: DataFrame) -> DataFrame:
     """Parent of a kept clade = the smallest other kept clade that holds it.
 
-    One leaf is enough to find the candidates: clades with a shared leaf are nested.
+    One leaf is enough to find the candidates: clades with a shared leaf are nested. Clades travel as numbers.
     """
-    a = kept.withColumn("_leaf", F.element_at("clade", 1))
-    b = kept.select(F.col("clade").alias("_p"), F.size("clade").alias("_m"), F.explode("clade").alias("_leaf"))
-    up = (
-        a.join(small(b), "_leaf")
-        .filter(F.col("_m") > F.size("clade"))
-        .groupBy("clade")
-        .agg(F.min_by("_p", "_m").alias("parent_clade"))
-    )
-    return kept.join(up, "clade", "left")
+    numbered = cut(kept.withColumn("_id", F.monotonically_increasing_id()))
+    a = numbered.select("_id", F.size("clade").alias("_n"), F.element_at("clade", 1).alias("_leaf"))
+    b = numbered.select(F.col("_id").alias("_p"), F.size("clade").alias("_m"), F.explode("clade").alias("_leaf"))
+    up = a.join(b, "_leaf").filter(F.col("_m") > F.col("_n")).groupBy("_id").agg(F.min_by("_p", "_m").alias("_p"))
+    names = numbered.select(F.col("_id").alias("_p"), F.col("clade").alias("parent_clade"))
+    return numbered.join(up.join(names, "_p").drop("_p"), "_id", "left").select("clade", "support", "parent_clade")
 
 
 def clade_times(consensus_rows: DataFrame, node_times: DataFrame) -> DataFrame:

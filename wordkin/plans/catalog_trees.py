@@ -12,7 +12,7 @@ from wordkin.plans.catalog import (
 )
 from wordkin.plans.catalog_words import words
 from wordkin.session import cut, small
-from wordkin.sources.treetext import read_trees, register_tree_nodes, tree_texts
+from wordkin.sources.treetext import read_trees, register_tree_nodes, text_clade_support, tree_texts
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +31,10 @@ def order_clades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def support(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.clade_support(order_clades(spark, sf))
+    return shared(
+        spark, sf, "support",
+        lambda: cut(text_clade_support(views.spread_input(views.order_tree_texts(spark, sf)), "newick")),
+    )
 
 
 NODE_SQL = with_(OT) + """SELECT tree_id, label, parent_label, depth, length, count(*) AS nodes FROM (
@@ -128,11 +131,24 @@ def _(spark, sf):
     return numbered.select(F.col("name").alias("clade"), "support", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
-@query("a18_consensus_tree")
+# One clade a step, in order of rank, is kept if it fits all that were kept before.
+CONSENSUS = """sup AS (SELECT string_split(clade, ',') AS x, count(DISTINCT tree_id) AS support FROM oc GROUP BY 1),
+  everyone AS (SELECT list_sort(list(DISTINCT leaf)) AS x, (SELECT count(DISTINCT tree_id) + 1 FROM ot) AS support FROM ot),
+  rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY support DESC, len(x) DESC, array_to_string(x, chr(1))) AS k FROM (
+    SELECT * FROM sup WHERE x NOT IN (SELECT x FROM everyone) UNION ALL SELECT * FROM everyone)),
+  fit(k, kept) AS (SELECT 0::BIGINT, []::VARCHAR[][] UNION ALL
+    SELECT rk.k, CASE WHEN len(list_filter(kept, lambda y: len(list_intersect(x, y)) > 0 AND len(list_intersect(x, y)) < len(x) AND len(list_intersect(x, y)) < len(y))) = 0
+      THEN list_append(kept, x) ELSE kept END FROM fit JOIN rk ON rk.k = fit.k + 1),
+  con AS (SELECT unnest(arg_max(kept, k)) AS x FROM fit)"""
+
+
+@query("a18_consensus_tree", with_(OT_CLADES, CONSENSUS, recursive=True) + """SELECT array_to_string(a.x, ',') AS clade, any_value(rk.support) AS support,
+  array_to_string(arg_min(b.x, len(b.x)), ',') AS parent_clade FROM con a JOIN rk ON rk.x = a.x
+  LEFT JOIN con b ON len(b.x) > len(a.x) AND len(list_intersect(a.x, b.x)) = len(a.x) GROUP BY a.x""")
 def _(spark, sf):
     # the whole leaf set of the sample goes first, so that one root holds all clades
     sup = support(spark, sf)
-    every = order_clades(spark, sf).select(F.explode("clade").alias("x")).agg(F.array_sort(F.collect_set("x")).alias("clade"))
+    every = sup.select(F.explode("clade").alias("x")).distinct().agg(F.array_sort(F.collect_list("x")).alias("clade"))
     total = order_trees(spark, sf).select("tree_id").distinct().count() + 1
     rest = sup.join(small(every), "clade", "left_anti")
     kept = tr.consensus(rest.unionByName(every.withColumn("support", F.lit(total).cast("bigint"))))
