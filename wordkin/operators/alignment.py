@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from wordkin.operators import tries
+from wordkin.operators.costs import CostTable, SparseCells
 from wordkin.symbols import EMPTY
 
 CELLS = 1_500_000
@@ -103,6 +104,18 @@ class _Words:
         return self.codes[np.minimum(at, len(self.codes) - 1)]
 
 
+class _Best:
+    """Best alignment instead of the sum over all."""
+
+    zero, one = -np.inf, 0.0
+    add = staticmethod(np.maximum)
+    mul = staticmethod(np.add)
+
+    @staticmethod
+    def leave(v):
+        return v
+
+
 def _chunks(lp: np.ndarray, lc: np.ndarray, layers: int):
     """Index chunks of pairs with similar lengths, sized by their cells."""
     order = np.lexsort((lc, lp))
@@ -183,6 +196,18 @@ def _ring_for(lp, lc, lowest):
     return _Plain if float((lp + lc).max() + 2) * abs(lowest) < PLAIN_LIMIT else _Log
 
 
+def distance_costs(words: list[str], weight: float) -> CostTable:
+    """Costs whose best alignment is a multiple of the edit distance, for the characters of some words."""
+    chars = "\0" + "".join(sorted(set("".join(words)) - {"\0"}))
+    n = len(chars)
+    if n * n <= CELLS:
+        cells = np.full((1, n, n), weight)
+        np.fill_diagonal(cells[0], 0.0)
+    else:
+        cells = SparseCells(n, np.arange(n) * (n + 1), np.zeros(n), np.full(n, weight))
+    return CostTable(chars, [], cells, np.zeros(1), True, True)
+
+
 def score_pairs(words, parent, child, row, costs) -> np.ndarray:
     """Log-likelihood of word indices ``parent[k] -> child[k]`` under cost row ``row[k]``."""
     n = costs.n
@@ -191,7 +216,7 @@ def score_pairs(words, parent, child, row, costs) -> np.ndarray:
     lp, lc = words.length[parent], words.length[child]
     for pick in _chunks(lp, lc, 1):
         a, b = lp[pick], lc[pick]
-        ring = _ring_for(a, b, lowest)
+        ring = _Best if costs.best else _ring_for(a, b, lowest)
         x = words.padded(parent[pick], int(a.max()))
         y = words.padded(child[pick], int(b.max()))
         flat = plain if ring is _Plain else logs
@@ -214,7 +239,14 @@ def slices(batch: pa.RecordBatch):
 
 
 def score_blocks(parents: pa.ListArray, children: pa.ListArray, costs) -> pa.ListArray:
-    """One score list per block row, parent-major over parents x children.
+    """One score list per block row, parent-major over parents x children."""
+    scores, _, _, offsets = score_all(parents, children, costs)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(scores, pa.float64()))
+
+
+def score_all(parents: pa.ListArray, children: pa.ListArray, costs) -> tuple[np.ndarray, ...]:
+    """(score, parent place, child place, offset of each block) of all pairs of a batch of blocks; ``costs`` may be a
+    function that gives the costs for a list of words.
 
     Words of a batch are told apart once. Blocks are scored over prefix tries; a block whose words share too
     little, or whose table would be too large, is scored pair by pair."""
@@ -226,6 +258,8 @@ def score_blocks(parents: pa.ListArray, children: pa.ListArray, costs) -> pa.Lis
     c = children.values.field("word").slice(co[0], co[-1] - co[0])
     both = pa.concat_arrays([p.cast(pa.string()), c.cast(pa.string())]).dictionary_encode()
     index = np.asarray(both.indices, dtype=np.int64)
+    if callable(costs):
+        costs = costs(both.dictionary.to_pylist())
     words = _Words(both.dictionary, costs)
     pw, cw = index[: len(p)], index[len(p) :]
     if costs.shared:
@@ -241,19 +275,18 @@ def score_blocks(parents: pa.ListArray, children: pa.ListArray, costs) -> pa.Lis
     table = weight[0] * weight[1]
     longest = int(words.length.max(initial=0))
     alone = (np_ * nc < TRIE_PAIRS) | (table > MAX_TABLE) | (longest * len(words.length) > MAX_LETTERS)
-    for some in (np.flatnonzero(alone), *_table_slices(np.flatnonzero(~alone & (np_ * nc > 0)), table)):
-        if not len(some):
-            continue
-        size = np_[some] * nc[some]
-        owner = np.repeat(np.arange(len(some)), size)
-        k = np.arange(size.sum()) - (np.cumsum(size) - size)[owner]
-        at = offsets[:-1][some][owner] + k
-        pi, ci = (po[:-1][some] - po[0])[owner] + k // nc[some][owner], (co[:-1][some] - co[0])[owner] + k % nc[some][owner]
-        if alone[some[0]]:
-            out[at] = score_pairs(words, pw[pi], cw[ci], row[ci], costs)
-        else:
-            out[at] = _score_tables(words, some, pb, pw, cb, cw, row, pi, ci, costs)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.float64()))
+    size = np_ * nc
+    owner = np.repeat(block, size)
+    k = np.arange(offsets[-1]) - offsets[:-1][owner]
+    pi, ci = (po[:-1] - po[0])[owner] + k // nc[owner], (co[:-1] - co[0])[owner] + k % nc[owner]
+    at = np.flatnonzero(alone[owner])
+    if len(at):
+        out[at] = score_pairs(words, pw[pi[at]], cw[ci[at]], row[ci[at]], costs)
+    for some in _table_slices(np.flatnonzero(~alone & (size > 0)), table):
+        at = tries.runs(offsets[:-1][some], size[some])
+        if len(at):
+            out[at] = _score_tables(words, some, pb, pw, cb, cw, row, pi[at], ci[at], costs)
+    return out, pi, ci, offsets
 
 
 def _table_slices(blocks: np.ndarray, table: np.ndarray):
@@ -278,7 +311,7 @@ def _score_tables(words, blocks, pb, pw, cb, cw, row, pi, ci, costs) -> np.ndarr
     n = costs.n
     logs, plain, lowest = costs.views()
     deepest = sum(len(t.block) - 1 for t in sides)
-    ring = _Plain if (deepest + 2) * abs(lowest) < PLAIN_LIMIT else _Log
+    ring = _Best if costs.best else _Plain if (deepest + 2) * abs(lowest) < PLAIN_LIMIT else _Log
     total, base = tries.grid_sums(*sides, plain if ring is _Plain else logs, n, ring)
     here = local[pb[pi]]
     return ring.leave(total[base[here] + ends[0][pi] * sides[1].size[here] + ends[1][ci]]) + costs.stop[row[ci]]

@@ -33,13 +33,15 @@ class SparseCells:
 
 @dataclass
 class CostTable:
-    """Log costs of some nodes: ``cells[k, x, y]`` with character 0 the empty symbol."""
+    """Log costs of some nodes: ``cells[k, x, y]`` with character 0 the empty symbol. A pair scores the sum over its
+    alignments, or the ``best`` of them."""
 
     chars: str
     node_ids: list
     cells: np.ndarray | SparseCells
     stop: np.ndarray
     shared: bool = False
+    best: bool = False
 
     def __post_init__(self):
         points = np.array([ord(ch) for ch in self.chars], dtype=np.uint32)

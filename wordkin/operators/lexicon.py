@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wordkin.functions.text import EMPTY, boundary_bigrams, chars
-from wordkin.session import cut, small
+from wordkin.operators.wordscore import ScoreTable
+from wordkin.session import cut, need_at_most, python_ready, small
 
 # Fixed values of the model: weight of the counts over all nodes, and added mass.
 SHARED = 0.5
 ADDED = 0.01
+# Models up to this size are sent to the tasks as a dense table; larger ones are joined.
+TABLE_ROWS = 200_000
+TABLE_CELLS = 4_000_000
 
 
 def alphabet(words: DataFrame) -> DataFrame:
@@ -45,6 +52,7 @@ class BigramModel:
     rows: DataFrame | None
     defaults: DataFrame | None
     uniform: float
+    table: list = field(default_factory=list, compare=False, repr=False)
 
     @staticmethod
     def flat(n_chars: int) -> "BigramModel":
@@ -73,12 +81,53 @@ def fit_bigrams(counts: DataFrame, nodes: list, n_chars: int) -> BigramModel:
     return BigramModel(small(cut(rows)), small(cut(defaults)), BigramModel.flat(n_chars).uniform)
 
 
+def score_table(model: BigramModel) -> ScoreTable | None:
+    """The model as one dense table for the tasks; None if it is too large for that."""
+    if not model.table:
+        defaults = model.defaults.limit(TABLE_ROWS + 1).collect()
+        ids, chars = sorted({r.node_id for r in defaults}), sorted({r.prev for r in defaults} - {EMPTY})
+        n = len(chars) + 2
+        if len(defaults) > TABLE_ROWS or len(ids) * n * n > TABLE_CELLS:
+            model.table.append(None)
+        else:
+            at = {ch: i + 1 for i, ch in enumerate(chars)} | {EMPTY: 0}
+            node = {x: i for i, x in enumerate(ids)}
+            cells = np.full((len(ids), n, n), model.uniform)
+            for r in defaults:
+                cells[node[r.node_id], at[r.prev]] = r.lp
+            # At most a row for every cell.
+            for r in need_at_most(model.rows, TABLE_CELLS, "bigrams"):
+                cells[node[r.node_id], at[r.prev], at.get(r.next, n - 1)] = r.lp
+            model.table.append(ScoreTable(ids, "".join(chars), cells))
+    return model.table[0]
+
+
+def with_scores(rows: DataFrame, model: BigramModel) -> DataFrame:
+    """Add ``lm``, the log-probability of ``word`` at ``node_id``, end included. Narrow: the model goes to the rows."""
+    if model.rows is None:
+        return rows.withColumn("lm", F.lit(model.uniform) * (F.size(chars(F.col("word"))) + 1))
+    table = score_table(model)
+    if table is None:
+        return rows.join(_joined_scores(rows.select("node_id", "word").distinct(), model), ["node_id", "word"])
+    spark = python_ready(rows.sparkSession)
+    shared = spark.sparkContext.broadcast(table)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lm = shared.value.score(batch.column(names.index("node_id")), batch.column(names.index("word")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lm)], names=[*names, "lm"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lm", T.DoubleType())]))
+
+
 def word_scores(items: DataFrame, model: BigramModel) -> DataFrame:
     """(node_id, word, lm): log-probability of each distinct (node_id, word), end included."""
-    if model.rows is None:
-        return items.select(
-            "node_id", "word", (F.lit(model.uniform) * (F.size(chars(F.col("word"))) + 1)).alias("lm")
-        )
+    return with_scores(items.select("node_id", "word"), model)
+
+
+def _joined_scores(items: DataFrame, model: BigramModel) -> DataFrame:
+    """The same by joins, for models of any size."""
     steps = items.select("node_id", "word", F.explode(boundary_bigrams(F.col("word"))).alias("b")).select(
         "node_id", "word", "b.prev", "b.next"
     )

@@ -9,11 +9,13 @@ Slots never mix. Loops run over tree levels.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wordkin.functions.logmath import mixture, responsibility
-from wordkin.operators.lexicon import BigramModel, word_scores
+from wordkin.operators import passes
+from wordkin.operators.lexicon import BigramModel, with_scores
 from wordkin.operators.pairs import ColumnScorer, as_scorer, count_pairs, diagonal_blocks, pair_blocks, spread, with_blocks
 from wordkin.session import cut, need_at_most, small
 
@@ -111,22 +113,10 @@ class Inference:
 
     # ---- edge scores -------------------------------------------------------------
 
-    def word_lm(self) -> DataFrame:
-        """(node_id, word, lm) for observed leaf words and for all words at inner nodes."""
-
-        def make():
-            seen = self.obs.select("node_id", "word").distinct()
-            inner = [x for d in range(len(self.shape.levels)) for x in self.shape.inner(d)]
-            every = self.legal.select("word").distinct()
-            ids = F.explode(F.array(*[F.lit(x) for x in inner])).alias("node_id")
-            return cut(word_scores(seen.unionByName(every.select(ids, "word")), self.model.bigrams))
-
-        return self._once("lm", make)
-
     def _children(self, rows: DataFrame, extra: list[str]) -> DataFrame:
         """Pack child rows with the two halves of the mixture: ``keep`` = ln(1-q) and
         ``repl`` = lm + ln q."""
-        rows = rows.join(self.word_lm(), ["node_id", "word"])
+        rows = with_scores(rows, self.model.bigrams)
         if self.model.factors != "mixture":
             repl, keep = F.col("lm"), F.lit(0.0)
         else:
@@ -150,6 +140,23 @@ class Inference:
         cost = {"mixture": mixture(F.col("kept"), repl), "edit": F.col("kept"), "bigrams": repl}
         return self.scorer.pairs(blocks, keys).withColumn("kept", kept).withColumn("cost", cost[self.model.factors])
 
+    def _reduces(self) -> bool:
+        """Whether the scorer works out a pass inside its tasks, so that no pair becomes a row."""
+        return hasattr(self.scorer, "reduced")
+
+    def _kind(self) -> str:
+        return self.tree.schema["node_id"].dataType.simpleString()
+
+    def _reduced(self, blocks: DataFrame, keep, ddl: str) -> DataFrame:
+        return self.scorer.reduced(blocks, keep, self.model.factors, ddl)
+
+    def _best_rows(self, blocks: DataFrame, down: bool) -> DataFrame:
+        kind = blocks.schema["slot"].dataType.simpleString()
+        ddl = f"slot {kind}, blk int, nb int, node_id {self._kind()}, word string, top double, lp double, mass double"
+        best = F.max("lp") if self.model.semiring == "max" else F.max("top") + F.log(F.sum("mass"))
+        rows = self._reduced(blocks, partial(passes.best_rows, down=down), ddl)
+        return rows.groupBy(*AT, "node_id", "word").agg(best.alias("lp"))
+
     def _replaced(self) -> Column:
         """Posterior that a scored pair is a replacement."""
         sure = {"edit": F.lit(0.0), "bigrams": F.lit(1.0)}
@@ -179,6 +186,10 @@ class Inference:
         def make():
             children = self._children(self.obs, ["n"])
             blocks = pair_blocks(self.legal.withColumn("p", F.struct("word", "blk", "nb")), children, ["slot"], self.pairs)
+            if self._reduces():
+                kind = blocks.schema["slot"].dataType.simpleString()
+                rows = self._reduced(blocks, passes.leaf_rows, f"slot {kind}, blk int, nb int, node_id {self._kind()}, word string, lp double")
+                return rows.groupBy(*AT, "node_id", "word").agg(F.sum("lp").alias("lp"))
             pairs = self._scored(blocks, ["slot"])
             return pairs.groupBy(
                 "slot",
@@ -235,6 +246,8 @@ class Inference:
         parents = nodes.withColumn("p", F.struct("word", "blk", "nb"))
         wide = pair_blocks(parents, rows.filter(near), keys, self.pairs)
         own = diagonal_blocks(rows.filter(~near), keys, F.struct("word", "blk", "nb"))
+        if self._reduces():
+            return self._best_rows(wide.unionByName(own), False)
         pairs = self._scored(wide.unionByName(own), keys)
         lp = F.col("c.lp") + F.col("cost")
         return pairs.groupBy(
@@ -254,8 +267,7 @@ class Inference:
                 )
                 at = [F.col(f"c.{x}").alias(x) for x in ("blk", "nb", "node_id", "word")]
                 return cut(self._scored(blocks, ["slot"]).select("slot", *at, F.col("cost").alias("lp")))
-            lm = self.word_lm().filter(F.col("node_id") == F.lit(self.shape.root))
-            return root.join(lm, ["node_id", "word"]).select(*AT, "node_id", "word", F.col("lm").alias("lp"))
+            return with_scores(root, self.model.bigrams).select(*AT, "node_id", "word", F.col("lm").alias("lp"))
 
         return self._once("rootmsg", make)
 
@@ -311,6 +323,8 @@ class Inference:
             keys,
             F.struct("word", "lp", "top"),
         )
+        if self._reduces():
+            return self._best_rows(wide.unionByName(own), True)
         pairs = self._scored(wide.unionByName(own), keys)
         lp = F.col("p.lp") + F.col("cost")
         return pairs.groupBy(
@@ -326,8 +340,8 @@ class Inference:
     def _edge_children(self) -> DataFrame:
         """Upward beliefs inside the beam: one per observation at leaves, one per inner node.
 
-        ``obs_word`` names the observation, '' for an inner node. ``base`` is a shift for the
-        exponentials: the middle between a lower and an upper bound of the pair scores.
+        ``obs_word`` names the observation, '' for an inner node. ``base`` is a shift for the exponentials of pairs
+        that are rows: the middle between a lower and an upper bound of their scores.
         """
 
         def make():
@@ -337,6 +351,10 @@ class Inference:
                 F.col("c.repl").alias("repl"), F.col("c.keep").alias("keep"), (F.col("c.repl") / 2).alias("base"),
             )
             inner = self._children(self.beam(beliefs), ["lp", "top"])
+            if self._reduces():
+                plain = [F.col("c.repl").alias("repl"), F.col("c.keep").alias("keep"), F.lit(0.0).alias("base")]
+                inner = inner.select(*AT, "node_id", "word", F.lit("").alias("obs_word"), "lp", F.lit(1.0).alias("n"), *plain)
+                return cut(leaf.unionByName(inner))
             low = spread(
                 inner.groupBy("slot", "node_id").agg(
                     F.max(F.col("lp") + F.col("c.repl")).alias("_low"), F.max("nb").alias("nb")
@@ -356,13 +374,15 @@ class Inference:
             "edge_parents", lambda: cut(self.beam(self.downward()).withColumn("p", F.struct("word", "lp", "top")))
         )
 
-    def _edge_scores(self, children: DataFrame, extra: list[str]) -> DataFrame:
-        keys = ["slot", "node_id"]
+    def _edge_blocks(self, children: DataFrame, extra: list[str]) -> DataFrame:
         packed = children.withColumn(
             "c", F.struct("node_id", "word", "repl", "keep", "lp", "n", "obs_word", "base", *extra)
         )
+        return pair_blocks(self._edge_parents(), packed, ["slot", "node_id"], self.pairs)
+
+    def _edge_scores(self, children: DataFrame, extra: list[str]) -> DataFrame:
         return (
-            self._scored(pair_blocks(self._edge_parents(), packed, keys, self.pairs), keys)
+            self._scored(self._edge_blocks(children, extra), ["slot", "node_id"])
             .withColumn("score", F.col("p.lp") + F.col("c.lp") + F.col("cost"))
             .withColumn("resp", self._replaced())
         )
@@ -382,7 +402,21 @@ class Inference:
                 F.max("c.n").alias("n"),
             )
 
+        def in_tasks() -> DataFrame:
+            """A (maximum, mass relative to it) pair for each observation and block, then put together."""
+            blocks = self._edge_blocks(self._edge_children(), [])
+            slot = blocks.schema["slot"].dataType.simpleString()
+            ddl = f"slot {slot}, node_id {self._kind()}, obs_word string, n double, top double, mass double, replaced double"
+            rows = self._reduced(blocks, passes.edge_rows, ddl).withColumn("_max", F.max("top").over(Window.partitionBy(*keys)))
+            scale = F.exp(F.col("top") - F.col("_max"))
+            sums = rows.groupBy(*keys).agg(
+                F.max("n").alias("n"), F.max("_max").alias("_max"), F.sum(scale * F.col("mass")).alias("_z"), F.sum(scale * F.col("replaced")).alias("_zi")
+            )
+            return cut(sums.select(*keys, "n", (F.col("_max") + F.log("_z")).alias("log_z"), F.try_divide("_zi", "_z").alias("innovation")))
+
         def make():
+            if self._reduces():
+                return in_tasks()
             children = self._edge_children()
             guess = cut(summed(self._edge_scores(children, []), F.col("p.top") + F.col("c.base")))
             # The guessed shift spares a pass over the pairs. Edges whose words differ so much in length
@@ -422,6 +456,13 @@ class Inference:
             inner = rows.filter(F.col("obs_word") == "").join(
                 spread(per_node.join(sizes, "slot")), ["slot", "blk", "node_id"]
             )
+            if self._reduces():
+                blocks = self._edge_blocks(leaf.unionByName(inner), ["log_z"])
+                ddl = f"node_id {self._kind()}, parent string, child string, kept_weight double, new_weight double"
+                found = self._reduced(blocks, partial(passes.weight_rows, least=TINY_WEIGHT), ddl)
+                return cut(
+                    found.groupBy("node_id", "parent", "child").agg(F.sum("kept_weight").alias("kept_weight"), F.sum("new_weight").alias("new_weight"))
+                )
             w = F.exp(F.col("score") - F.col("c.log_z"))
             kept, new = w * (1.0 - F.col("resp")), w * F.col("resp")
             n = F.col("c.n")

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wordkin.functions.text import bigram_set, dice
-from wordkin.operators import alignment
+from wordkin.operators import alignment, passes
 from wordkin.operators.edit_model import EditModel
 from wordkin.session import cut, python_ready, small
 
@@ -95,8 +96,36 @@ class ColumnScorer:
         return explode_pairs(blocks, keys).withColumn("edit", self.score(p, c))
 
 
-def levenshtein_scorer(weight: float = -4.0) -> ColumnScorer:
-    return ColumnScorer(lambda p, c: F.levenshtein(p, c).cast("double") * F.lit(weight))
+def _run_blocks(blocks: DataFrame, costs, keep: Callable, factors: str, ddl: str) -> DataFrame:
+    """Score the blocks of every batch and keep what ``keep`` makes of their pairs."""
+    spark = python_ready(blocks.sparkSession)
+    shared = spark.sparkContext.broadcast(costs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in alignment.slices(whole):
+                scores, p, c, _ = alignment.score_all(batch.column("parents"), batch.column("children"), shared.value)
+                yield keep(passes.Pairs(batch, scores, p, c, factors))
+
+    return blocks.mapInArrow(run, ddl)
+
+
+@dataclass(frozen=True)
+class LevenshteinScorer:
+    """A multiple of the edit distance of the two words."""
+
+    weight: float
+
+    def pairs(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
+        return ColumnScorer(lambda p, c: F.levenshtein(p, c).cast("double") * F.lit(self.weight)).pairs(blocks, keys)
+
+    def reduced(self, blocks: DataFrame, keep: Callable, factors: str, ddl: str) -> DataFrame:
+        """Partial rows of a pass over the pairs (see ``passes``)."""
+        return _run_blocks(blocks, partial(alignment.distance_costs, weight=self.weight), keep, factors, ddl)
+
+
+def levenshtein_scorer(weight: float = -4.0) -> LevenshteinScorer:
+    return LevenshteinScorer(weight)
 
 
 def dice_scorer(weight: float = 4.0) -> ColumnScorer:
@@ -138,20 +167,28 @@ class EditScorer:
             .select(*keys, "p", F.col("_z.c").alias("c"), F.col("_z.edit").alias("edit"))
         )
 
-    def pairs(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    def _by_part(self, blocks: DataFrame, score: Callable) -> DataFrame:
+        """Union over the cost tables; each scores the children whose nodes it has."""
         parts = self.costs()
         if len(parts) == 1:
-            return self._part(blocks, keys, parts[0])
+            return score(blocks, parts[0])
         out = None
         for part in parts:
             ids = F.array(*[F.lit(x) for x in part.node_ids])
             mine = blocks.withColumn(
                 "children", F.filter("children", lambda c: F.array_contains(ids, c["node_id"]))
             ).filter(F.size("children") > 0)
-            done = self._part(mine, keys, part)
+            done = score(mine, part)
             out = done if out is None else out.unionByName(done)
         return out
 
+    def pairs(self, blocks: DataFrame, keys: list[str]) -> DataFrame:
+        return self._by_part(blocks, lambda b, costs: self._part(b, keys, costs))
+
+    def reduced(self, blocks: DataFrame, keep: Callable, factors: str, ddl: str) -> DataFrame:
+        """Partial rows of a pass over the pairs (see ``passes``)."""
+        return self._by_part(blocks, lambda b, costs: _run_blocks(b, costs, keep, factors, ddl))
+
 
 @dataclass(frozen=True)
 class FunctionScorer:
@@ -163,7 +200,7 @@ class FunctionScorer:
         return self.score(explode_pairs(blocks, keys))
 
 
-def as_scorer(scorer) -> ColumnScorer | EditScorer | FunctionScorer:
+def as_scorer(scorer) -> ColumnScorer | LevenshteinScorer | EditScorer | FunctionScorer:
     if isinstance(scorer, str):
         return {"levenshtein": levenshtein_scorer, "dice": dice_scorer}[scorer]()
     return FunctionScorer(scorer) if callable(scorer) else scorer

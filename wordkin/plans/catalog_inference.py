@@ -72,13 +72,16 @@ def mix(kept: str, repl: str) -> str:
 
 NEW = "(lm.lm + ln(0.4::DOUBLE))"
 UP = MODEL + [
-    f"""leafm AS MATERIALIZED (SELECT pr.slot, o.node_id, o.parent_id, pr.p AS word, sum({mix('kept', NEW)}) AS lp
-      FROM pr JOIN obs o ON o.slot = pr.slot AND o.word = pr.c JOIN lm ON lm.node_id = o.node_id AND lm.word = pr.c GROUP BY ALL)""",
+    # joined step by step, so that no plan pairs rows by node alone
+    "ol AS MATERIALIZED (SELECT o.slot, o.node_id, o.parent_id, o.word, lm.lm FROM obs o JOIN lm ON lm.node_id = o.node_id AND lm.word = o.word)",
+    f"""leafm AS MATERIALIZED (SELECT pr.slot, lm.node_id, lm.parent_id, pr.p AS word, sum({mix('kept', NEW)}) AS lp
+      FROM pr JOIN ol lm ON lm.slot = pr.slot AND lm.word = pr.c GROUP BY ALL)""",
     "bel1 AS MATERIALIZED (SELECT slot, parent_id AS node_id, word, sum(lp) AS lp FROM leafm GROUP BY ALL)",
     "top1 AS MATERIALIZED (SELECT *, max(lp) OVER (PARTITION BY slot, node_id) AS top FROM bel1)",
-    f"""up1 AS MATERIALIZED (SELECT pr.slot, b.node_id, pr.p AS word, max(b.lp + {mix('kept', NEW)}) AS lp
-      FROM pr JOIN top1 b ON b.slot = pr.slot AND b.word = pr.c JOIN lm ON lm.node_id = b.node_id AND lm.word = pr.c
-      WHERE b.lp >= b.top - 10 OR pr.p = pr.c GROUP BY ALL)""",
+    "bl1 AS MATERIALIZED (SELECT b.slot, b.node_id, b.word, b.lp, b.top, lm.lm FROM top1 b JOIN lm ON lm.node_id = b.node_id AND lm.word = b.word)",
+    f"""up1 AS MATERIALIZED (SELECT pr.slot, lm.node_id, pr.p AS word, max(lm.lp + {mix('kept', NEW)}) AS lp
+      FROM pr JOIN bl1 lm ON lm.slot = pr.slot AND lm.word = pr.c
+      WHERE lm.lp >= lm.top - 10 OR pr.p = pr.c GROUP BY ALL)""",
     "bel0 AS MATERIALIZED (SELECT slot, 0 AS node_id, word, sum(lp) AS lp FROM up1 GROUP BY ALL)",
     "rootm AS (SELECT slot, 0 AS node_id, word, lm AS lp FROM legal JOIN lm USING (word) WHERE lm.node_id = 0)",
     "bel AS (SELECT * FROM bel1 UNION ALL SELECT * FROM bel0)",
@@ -86,8 +89,9 @@ UP = MODEL + [
     "rootb AS MATERIALIZED (SELECT slot, word, b.lp + r.lp AS lp FROM bel0 b JOIN rootm r USING (slot, word))",
 ]
 LIK = "lik AS (SELECT slot, m + ln(sum(exp(lp - m))) AS log_likelihood FROM (SELECT *, max(lp) OVER (PARTITION BY slot) AS m FROM rootb) GROUP BY slot, m)"
+DOWN1 = "down1 AS MATERIALIZED (SELECT u.slot, u.node_id, u.word, r.lp - u.lp AS lp FROM up1 u JOIN rootb r USING (slot, word))"
 DOWN = UP + [
-    "down1 AS MATERIALIZED (SELECT u.slot, u.node_id, u.word, r.lp - u.lp AS lp FROM up1 u JOIN rootb r USING (slot, word))",
+    DOWN1,
     """down2 AS MATERIALIZED (SELECT m.slot, m.node_id, m.word, d.lp + b.lp - m.lp AS lp FROM leafm m JOIN down1 d ON d.slot = m.slot AND d.word = m.word AND d.node_id = m.parent_id
       JOIN bel1 b ON b.slot = m.slot AND b.word = m.word AND b.node_id = m.parent_id)""",
     "down AS MATERIALIZED (SELECT * FROM rootm UNION ALL SELECT * FROM down1 UNION ALL SELECT * FROM down2)",
@@ -345,11 +349,16 @@ def _(spark, sf):
     return ms.cut_anchors(step(spark, sf)).select("slot", "language", F.col("anchor").cast("string").alias("anchor"))
 
 
-BELIEF = f"""pd AS (SELECT pr.slot, d.node_id, pr.c AS word, max(d.lp + {mix('pr.kept', NEW)}) AS lp FROM pr JOIN (SELECT *, max(lp) OVER (PARTITION BY slot, node_id) AS top FROM down1) d
-  ON d.slot = pr.slot AND d.word = pr.p JOIN lm ON lm.node_id = d.node_id AND lm.word = pr.c WHERE d.lp >= d.top - 10 OR pr.p = pr.c GROUP BY ALL)"""
+BELIEF = [
+    "dt AS MATERIALIZED (SELECT *, max(lp) OVER (PARTITION BY slot, node_id) AS top FROM down1)",
+    """dp AS MATERIALIZED (SELECT pr.slot, d.node_id, pr.c, pr.kept, d.lp FROM pr JOIN dt d ON d.slot = pr.slot AND d.word = pr.p
+      WHERE d.lp >= d.top - 10 OR pr.p = pr.c)""",
+    f"""pd AS MATERIALIZED (SELECT dp.slot, dp.node_id, dp.c AS word, max(dp.lp + {mix('dp.kept', NEW)}) AS lp FROM dp
+      JOIN lm ON lm.node_id = dp.node_id AND lm.word = dp.c GROUP BY ALL)""",
+]
 
 
-@query("b9_node_beliefs", with_(*DOWN, BELIEF) + """SELECT slot, node_id::BIGINT AS node_id, word, round(pd.lp + bel1.lp, 4) AS lp FROM pd JOIN bel1 USING (slot, node_id, word)
+@query("b9_node_beliefs", with_(*UP, DOWN1, *BELIEF) + """SELECT slot, node_id::BIGINT AS node_id, word, round(pd.lp + bel1.lp, 4) AS lp FROM pd JOIN bel1 USING (slot, node_id, word)
   UNION ALL SELECT slot, 0, word, round(lp, 4) FROM rootb""")
 def _(spark, sf):
     return as_rows(step(spark, sf).node_beliefs(), "slot", "node_id", "word", "lp")
