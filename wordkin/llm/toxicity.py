@@ -54,6 +54,7 @@ MIN_G2 = 25.0
 MIN_RATIO = 6.0
 # The compressor does not look for matches in the last bytes of its input.
 PADDING = b" " + b"\n" * 8
+CHUNK = 256
 TEXT_HASH = "text_hash"
 WORD = re.compile(r"[^\W_]+")
 
@@ -199,11 +200,18 @@ def draw(labelled: DataFrame, text: str, label: str, per_class: int, texts: Data
     return cut(sample.select("text", "y", F.pmod(F.xxhash64("least"), F.lit(2)).alias("half"))), (total[0] - total[1], total[1])
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of CHUNK rows, so that a worker holds little at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(at, CHUNK)
+
+
 def count_segments(sample: DataFrame) -> DataFrame:
     """(segment, a, b): texts of sample(text, y) with and without a toxic label that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             held = Counter(), Counter()
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[1 - y].update(segments(t))
@@ -219,7 +227,7 @@ def sample_windows(sample: DataFrame, most: int) -> list[bytes]:
     """Windows with the smallest hashes, up to most of them per class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [(y, w) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(windows(t)) if w]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], names=["y", "w"])
 
