@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,81 @@ def test_bigram_model_defaults(spark):
     assert alphabet(words).count() == 3
 
 
+def test_word_scores_of_large_models_are_joined(spark, monkeypatch):
+    """Too large for a table: the same scores by joins, unknown nodes and characters and empty words included."""
+    from wordkin.operators import lexicon
+
+    rows = [(n, w) for n in ("n", "m") for w in ("ab", "aé", "bʤb", "")]
+    counts = bigram_counts(spark.createDataFrame(rows[:5], "node_id string, word string")).withColumn("cnt", F.col("cnt").cast("double"))
+    items = spark.createDataFrame([*rows, ("z", "ab"), ("n", "xyx"), ("m", "a" * 300)], "node_id string, word string")
+    small_model = fit_bigrams(counts, ["n", "m"], 5)
+    got = {(r.node_id, r.word): r.lm for r in lexicon.word_scores(items, small_model).collect()}
+    monkeypatch.setattr(lexicon, "TABLE_CELLS", 0)
+    large = {(r.node_id, r.word): r.lm for r in lexicon.word_scores(items, fit_bigrams(counts, ["n", "m"], 5)).collect()}
+    assert got.keys() == large.keys() and len(got) == 11
+    for key, lm in got.items():
+        assert lm == pytest.approx(large[key], abs=1e-9)
+
+
+@pytest.mark.parametrize("semiring, down", [("max", False), ("sum", True)])
+def test_passes_in_tasks_equal_passes_over_rows(spark, semiring, down):
+    """The same E-step with pairs as rows, and with sums kept inside the tasks that score them; several blocks a slot."""
+    from dataclasses import replace
+
+    from wordkin.operators.messages import Inference, decode
+    from wordkin.operators.pairs import ColumnScorer
+    from wordkin.plans import views
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(700):
+        slot = "st"[k % 7 == 0]
+        w = "".join("aeiou"[i] for i in rng.integers(0, 5, rng.integers(1, 6)))
+        rows.append((slot, ("en", "de", "fr", "es")[k % 4], w))
+    tree = views.language_tree(spark)
+    df = as_words(spark, rows)
+    step, _ = job.fixed_cost_job(df, tree)
+    fast = replace(step.model, semiring=semiring, project_parent=down, innovation={3: 0.2, 5: 0.6})
+    slow = replace(fast, scorer=ColumnScorer(lambda p, c: F.levenshtein(p, c).cast("double") * F.lit(-4.0)))
+    one, two = (Inference(df, step.shape, m, (step.obs, step.legal, step.pairs)) for m in (fast, slow))
+    assert one._reduces() and not two._reduces() and step.legal.agg(F.max("nb")).first()[0] > 1
+
+    def same(a, b, keys, values):
+        left, right = ({tuple(r[k] for k in keys): [r[v] for v in values] for r in x.collect()} for x in (a, b))
+        assert left.keys() == right.keys() and left
+        for k, v in left.items():
+            assert v == pytest.approx(right[k], abs=1e-9)
+
+    keys = ["slot", "node_id", "word"]
+    same(one.upward()[1], two.upward()[1], keys, ["lp"])
+    same(one.downward(), two.downward(), keys, ["lp"])
+    same(one.node_beliefs(), two.node_beliefs(), keys, ["lp"])
+    same(one.edge_marginals(), two.edge_marginals(), ["slot", "node_id", "obs_word"], ["log_z", "innovation", "n"])
+    same(one.pair_weights(), two.pair_weights(), ["node_id", "parent", "child"], ["kept_weight", "new_weight"])
+    same(decode(df, one).withColumn("z", F.lit(0)), decode(df, two).withColumn("z", F.lit(0)), ["obs_id", "cluster_id"], ["z"])
+
+
+def test_rates_solve_their_equations(spark):
+    """At the fit the gradient is zero: n p - yes + l2 w per node, and the sum over all nodes for the shared part."""
+    from wordkin.operators.estimation import fit_branch_rate, fit_rates
+
+    rng = np.random.default_rng(6)
+    rows = [(k, float(y), float(n)) for k, (y, n) in enumerate((rng.integers(0, n + 1), n) for n in rng.integers(1, 400, 300))] + [(900, 0.0, 50.0), (901, 7.0, 7.0)]
+    counts = spark.createDataFrame(rows, "node_id int, yes double, n double").repartition(5)
+    for l2 in (1e-4, 2.0):
+        p = {r.node_id: r.p for r in fit_rates(counts, l2).collect()}
+        assert len(p) == len(rows)
+        assert sum(n * p[k] - y for k, y, n in rows) == pytest.approx(0, abs=1e-3)
+        score = {k: math.log(p[k] / (1 - p[k])) for k in p}
+        shared = [score[k] + (n * p[k] - y) / l2 for k, y, n in rows]
+        assert max(shared) - min(shared) < 1e-2 / l2
+    tree = spark.createDataFrame([(k, 0.1 + (k % 5)) for k, _, _ in rows] + [(2000, float("inf"))], "node_id int, branch_length double")
+    p = {r.node_id: r.p for r in fit_branch_rate(counts, tree).collect()}
+    length = {k: 0.1 + k % 5 for k, _, _ in rows}
+    r = math.log(p[0] / (1 - p[0])) / length[0]
+    assert sum(length[k] * (n * p[k] - y) for k, y, n in rows) + 1e-4 * r == pytest.approx(0, abs=1e-6)
+
+
 def test_marginals_of_very_unequal_words(spark):
     """One short word among long ones: the guessed shift fails there and the exact sum takes over."""
     from wordkin.operators.lexicon import alphabet

@@ -92,7 +92,7 @@ def score_table(model: BigramModel) -> ScoreTable | None:
         else:
             at = {ch: i + 1 for i, ch in enumerate(chars)} | {EMPTY: 0}
             node = {x: i for i, x in enumerate(ids)}
-            cells = np.full((len(ids), n, n), model.uniform)
+            cells = np.full((len(ids) + 1, n, n), model.uniform)
             for r in defaults:
                 cells[node[r.node_id], at[r.prev]] = r.lp
             # At most a row for every cell.

@@ -10,7 +10,8 @@ import pyarrow as pa
 
 @dataclass
 class ScoreTable:
-    """``cells[k, x, y]`` of node k; character 0 is the word boundary, the last one any character not in ``chars``."""
+    """``cells[k, x, y]`` of node k; character 0 is the word boundary, the last one any character not in ``chars``,
+    the last k any node not in ``node_ids``."""
 
     node_ids: list
     chars: str
@@ -45,5 +46,5 @@ class ScoreTable:
         row = np.repeat(np.arange(len(which)), steps)
         at = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps) + np.repeat(start[which], steps)
         named = nodes.dictionary_encode()
-        node = np.array([self._rows[x] for x in named.dictionary.to_pylist()], np.int64)[np.asarray(named.indices, np.int64)]
+        node = np.array([self._rows.get(x, len(self.node_ids)) for x in named.dictionary.to_pylist()], np.int64)[np.asarray(named.indices, np.int64)]
         return np.bincount(row, self.cells[node[row], line[at], line[at + 1]], len(which))

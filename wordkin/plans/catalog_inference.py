@@ -420,22 +420,55 @@ def language_counts(spark, sf) -> DataFrame:
     )
 
 
-@query("m5_innovation_rate", with_(WL) + "SELECT language AS node_id, round(sum((length(word) >= 7)::INT) / count(*), 3) AS p FROM wl GROUP BY 1")
+def rates_sql(counts: str, l2: float) -> str:
+    """Newton steps over a table rc(node_id, yes, n): a shared part b and a penalised weight per node. The steps of the
+    weights follow from that of the shared part."""
+    return f"""{counts},
+  ls AS (SELECT list(node_id ORDER BY node_id) AS ids, list(yes ORDER BY node_id) AS y, list(n ORDER BY node_id) AS n, {l2}::DOUBLE AS l2 FROM rc),
+  nw AS (SELECT 0 AS k, 0.0::DOUBLE AS b, list_transform(y, lambda v: 0.0::DOUBLE) AS w FROM ls
+    UNION ALL SELECT k + 1, b + db, list_transform(range(1, len(w) + 1), lambda i: w[i] - (g[i] + h[i] * db) / (h[i] + l2)) FROM (
+      SELECT *, -(list_sum(list_transform(range(1, len(w) + 1), lambda i: g[i] - l2 * w[i])) - list_sum(list_transform(range(1, len(w) + 1), lambda i: h[i] / (h[i] + l2) * g[i])))
+        / (list_sum(h) - list_sum(list_transform(range(1, len(w) + 1), lambda i: h[i] * h[i] / (h[i] + l2)))) AS db FROM (
+      SELECT *, list_transform(range(1, len(w) + 1), lambda i: n[i] * p[i] - y[i] + l2 * w[i]) AS g, list_transform(range(1, len(w) + 1), lambda i: n[i] * p[i] * (1 - p[i])) AS h FROM (
+      SELECT nw.*, ls.y, ls.n, ls.l2, list_transform(w, lambda v: 1 / (1 + exp(-(b + v)))) AS p FROM nw, ls WHERE k < 40)))),
+  fr AS (SELECT unnest(ids) AS node_id, unnest(list_transform(w, lambda v: 1 / (1 + exp(-(b + v))))) AS p FROM nw, ls WHERE k = 40)"""
+
+
+LONG_WORDS = "rc AS (SELECT language AS node_id, sum((length(word) >= 7)::INT)::DOUBLE AS yes, count(*)::DOUBLE AS n FROM wl GROUP BY 1)"
+
+
+@query("m5_innovation_rate", with_(WL, rates_sql(LONG_WORDS, 1e-4), recursive=True) + "SELECT node_id, round(p, 6) AS p FROM fr")
 def _(spark, sf):
-    return fit_rates(language_counts(spark, sf), l2=1e-9).withColumn("p", F.round("p", 3))
+    return fit_rates(language_counts(spark, sf)).withColumn("p", F.round("p", 6))
+
 
+AL = f"ac AS (SELECT language AS node_id, prev AS x, next AS y, sum(0.5::DOUBLE) AS cnt FROM bg WHERE NOT (prev = '{EMPTY}' AND next = '{EMPTY}') GROUP BY ALL)"
+STEPS = f"rc AS (SELECT node_id, sum(CASE WHEN x = '{EMPTY}' THEN cnt ELSE 0 END)::DOUBLE AS yes, sum(cnt)::DOUBLE AS n FROM ac GROUP BY 1)"
 
-@query("m4_insertion_rate")
+
+@query("m4_insertion_rate", with_(WL, BG, AL, rates_sql(STEPS, 2.0), recursive=True) + "SELECT node_id, round(p, 6) AS ins FROM fr")
 def _(spark, sf):
-    return fit_insertions(alignment_stand_in(spark, sf))
+    return fit_insertions(alignment_stand_in(spark, sf)).withColumn("ins", F.round("ins", 6))
+
+
+def varied_tree(spark) -> DataFrame:
+    """The language tree with every third branch twice as long, so that the rate has no closed form."""
+    return views.language_tree(spark).withColumn("branch_length", F.when(F.col("node_id") % 3 == 0, F.col("branch_length") * 2).otherwise(F.col("branch_length")))
+
+
+BRANCH_RATE = """vt AS (SELECT node_id, label, branch_length * CASE WHEN node_id % 3 = 0 THEN 2 ELSE 1 END AS branch_length FROM lt),
+  rb AS (SELECT vt.branch_length AS x, yes, n FROM rc JOIN vt ON vt.label = rc.node_id),
+  nr AS (SELECT 0 AS k, 0.0::DOUBLE AS r UNION ALL
+    SELECT k + 1, r + (sum(x * (yes - n / (1 + exp(-r * x)))) - 1e-4 * r) / (sum(x * x * n * exp(-r * x) / pow(1 + exp(-r * x), 2)) + 1e-4) FROM nr, rb WHERE k < 40 GROUP BY k, r)"""
 
 
-@query("m6_branch_rate")
+@query("m6_branch_rate", with_(WL, LT, LONG_WORDS, BRANCH_RATE, recursive=True) +
+  "SELECT vt.node_id::BIGINT AS node_id, round(1 / (1 + exp(-r * branch_length)), 6) AS p FROM vt, nr WHERE k = 40")
 def _(spark, sf):
-    tree = views.language_tree(spark)
+    tree = varied_tree(spark)
     leaf = tree.select("node_id", "label")
     counts = language_counts(spark, sf).withColumnRenamed("node_id", "label").join(F.broadcast(leaf), "label")
-    return fit_branch_rate(counts.select("node_id", "yes", "n"), tree)
+    return as_rows(fit_branch_rate(counts.select("node_id", "yes", "n"), tree), "node_id", "p", digits=6)
 
 
 @query("m3_feature_estimate")
