@@ -379,3 +379,44 @@ def test_marginals_of_very_unequal_words(spark):
     step = Inference(words, shape, cluster_job.initial_model(letters), prepare(words, shape))
     got = step.edge_marginals().collect()
     assert got and all(math.isfinite(r.log_z) and 0.0 <= r.innovation <= 1.0 for r in got)
+
+
+def test_stopped_job_goes_on_behind_its_last_iteration(spark, tree, monkeypatch, tmp_path):
+    """Killed before a commit and after a half-written iteration: the same history, groups and model as in one go."""
+    import os
+
+    from wordkin.session import scratch_dir
+
+    rng = random.Random(3)
+    rows = [(s, l, "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))) for s in "stuv" for l in "abc" for _ in range(3)]
+    words = as_words(spark, rows)
+    whole = job.run_job(words, tree, max_iterations=4, state=str(tmp_path / "whole"))
+    commit, calls = job.JobState.commit, []
+
+    def killed(self, row):
+        calls.append(row["iter"])
+        if len(calls) in (2, 4):
+            raise KeyboardInterrupt
+        commit(self, row)
+
+    monkeypatch.setattr(job.JobState, "commit", killed)
+    state = str(tmp_path / "stopped")
+    for _ in range(2):
+        with pytest.raises(KeyboardInterrupt):
+            job.run_job(words, tree, max_iterations=4, state=state)
+    again = job.run_job(words, tree, max_iterations=4, state=state)
+    assert calls == [0, 1, 1, 2, 2, 3]
+    assert [h["iter"] for h in again.history] == [0, 1, 2, 3]
+    for a, b in zip(whole.history, again.history):
+        assert a["log_likelihood"] == pytest.approx(b["log_likelihood"], abs=1e-9) and a["f1"] == b["f1"]
+    assert sorted(again.clusters.collect()) == sorted(whole.clusters.collect())
+    assert again.model.innovation == pytest.approx(whole.model.innovation)
+    # A finished job is only read.
+    calls.clear()
+    assert job.run_job(words, tree, max_iterations=4, state=state).reason == "iteration limit" and calls == []
+    with pytest.raises(ValueError, match="another job"):
+        job.run_job(words.limit(5), tree, max_iterations=4, state=state)
+    # Tables between steps are gone: an iteration leaves none of its own.
+    before = len(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    job.run_job(words, tree, max_iterations=5, state=state)
+    assert len(os.listdir(scratch_dir(spark).removeprefix("file:"))) - before < 6

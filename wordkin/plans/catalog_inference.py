@@ -136,6 +136,13 @@ def _(spark, sf):
 
 
 @query("m7_em_job")
+def _(spark, sf):
+    # to its own stop
+    result = job.run_job(words(spark, sf), views.language_tree(spark))
+    return job.history_table(result, spark)
+
+
+@query("m7_em_two_steps")
 def _(spark, sf):
     result = job.run_job(words(spark, sf), views.language_tree(spark), max_iterations=2)
     return job.history_table(result, spark)
@@ -446,6 +453,21 @@ AL = f"ac AS (SELECT language AS node_id, prev AS x, next AS y, sum(0.5::DOUBLE)
 STEPS = f"rc AS (SELECT node_id, sum(CASE WHEN x = '{EMPTY}' THEN cnt ELSE 0 END)::DOUBLE AS yes, sum(cnt)::DOUBLE AS n FROM ac GROUP BY 1)"
 
 
+NODE_RATES = "rc AS (SELECT node_id, sum(innovation) AS yes, count(*)::DOUBLE AS n FROM mar GROUP BY 1)"
+
+
+@query("m7_one_step", with_(*DECODE, LIK, PRF, rates_sql(NODE_RATES, 1e-4), recursive=True) + f"""SELECT node_id::BIGINT AS node_id, round(p, 5) AS rate,
+  (SELECT round(sum(log_likelihood), 2) FROM lik) AS log_likelihood, (SELECT f1 FROM ({PRF_OUT})) AS f1 FROM fr""")
+def _(spark, sf):
+    """One whole iteration of the job with given costs: likelihood, decoded groups, and the rates it goes on with."""
+    w, tree = words(spark, sf), views.language_tree(spark)
+    first = job.given_model(w, ms.TreeShape.of(tree))
+    result = job.run_job(w, tree, max_iterations=1, first=first)
+    row = result.history[0]
+    rates = spark.createDataFrame([(int(k), float(p)) for k, p in result.model.innovation.items()], "node_id long, rate double")
+    return rates.select("node_id", F.round("rate", 5).alias("rate"), F.round(F.lit(row["log_likelihood"]), 2).alias("log_likelihood"), F.round(F.lit(row["f1"]), 9).alias("f1"))
+
+
 @query("m4_insertion_rate", with_(WL, BG, AL, rates_sql(STEPS, 2.0), recursive=True) + "SELECT node_id, round(p, 6) AS ins FROM fr")
 def _(spark, sf):
     return fit_insertions(alignment_stand_in(spark, sf)).withColumn("ins", F.round("ins", 6))
