@@ -78,6 +78,36 @@ c    3  3  2
 """
 
 
+def test_repeated_comparative_forms(spark, tmp_path):
+    """The last line of a language in a group counts; a gloss that is opened again starts anew."""
+    text = """a 001 ALL
+b                      002
+  001 02 French          tout
+  001 03 Irish           uile
+  001 02 French          tous
+a 002 DOG
+b                      001
+  002 02 French          chien
+  002 02 French          mâtin
+b                      003
+  002 03 Irish           gadhar, madra
+a 001 ALL
+b                      002
+  001 04 Welsh           holl
+"""
+    path = tmp_path / "base.txt"
+    path.write_text(text)
+    lines = comp.comparative_lines(spark, str(path))
+
+    def rows(**how):
+        return sorted((r.gloss, r.group_id, r.language, r.word) for r in comp.read_forms(lines, **how).collect())
+
+    assert rows() == [("ALL", "002", "Welsh", "holl"), ("DOG", "001-0", "French", "chien"), ("DOG", "001-1", "French", "mâtin"), ("DOG", "003", "Irish", "gadhar")]
+    assert len(rows(repeated="all")) == 7
+    with pytest.raises(ValueError):
+        comp.read_forms(lines, "first")
+
+
 def test_comparative_file(spark, tmp_path):
     path = tmp_path / "db.txt"
     path.write_text(COMPARATIVE)

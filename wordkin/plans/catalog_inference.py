@@ -17,7 +17,7 @@ from wordkin.operators.pairs import EditScorer, expected_alignments, score_pairs
 from wordkin.plans import cluster_job as job, views
 from wordkin.plans.catalog import LT, LT_CLOSURE, LT_LEAF, WL, query, shared, with_
 from wordkin.plans.catalog_words import BG, LANGS, alignment_stand_in, n_chars, words
-from wordkin.session import cut
+from wordkin.session import cut, need_at_most
 
 
 def step(spark: SparkSession, sf: str) -> ms.Inference:
@@ -29,7 +29,7 @@ def step(spark: SparkSession, sf: str) -> ms.Inference:
 
 def letters(spark: SparkSession, sf: str) -> list[str]:
     return shared(
-        spark, sf, "letters", lambda: [r.ch for r in alphabet(words(spark, sf)).orderBy("idx").collect()]
+        spark, sf, "letters", lambda: [r.ch for r in need_at_most(alphabet(words(spark, sf)).orderBy("idx"), job.UNICODE, "alphabet")]
     )
 
 

@@ -99,13 +99,20 @@ def comparative_text(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(rows, ["file"], ["g", "k", "value"], F.col("g"), "line_no").select("file", "line_no", "value")
 
 
-@query("s5_comparative_forms", with_(WL, COMP) + """SELECT gloss, CASE WHEN g = 1 THEN '1-' || (row_number() OVER (PARTITION BY file, g
+@query("s5_comparative_forms", with_(WL, COMP) + """SELECT gloss, group_id, language, max(word) AS word FROM (SELECT gloss, CASE WHEN g = 1 THEN '1-' || (row_number() OVER (PARTITION BY file, g
   ORDER BY '  001 02 ' || upper(language[1]) || language[2:] || '.       ' || word || ', x (y)') - 1) ELSE g::VARCHAR END AS group_id,
-  upper(language[1]) || language[2:] AS language, word FROM form""")
+  upper(language[1]) || language[2:] AS language, word FROM form) GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return comp.read_forms(comparative_text(spark, sf)).select("gloss", "group_id", "language", "word")
 
 
+@query("s5_comparative_all_forms", with_(WL, COMP) + """SELECT gloss, CASE WHEN g = 1 THEN '1-' || (row_number() OVER (PARTITION BY file, g
+  ORDER BY '  001 02 ' || upper(language[1]) || language[2:] || '.       ' || word || ', x (y)') - 1) ELSE g::VARCHAR END AS group_id,
+  upper(language[1]) || language[2:] AS language, word FROM form""")
+def _(spark, sf):
+    return comp.read_forms(comparative_text(spark, sf), "all").select("gloss", "group_id", "language", "word")
+
+
 @query("s5_comparative_relations", with_(WL, COMP) + """SELECT DISTINCT gloss, g::VARCHAR AS group_a, (g + 1)::VARCHAR AS group_b,
   CASE WHEN g % 2 = 0 THEN 'sure' ELSE 'doubtful' END AS certainty FROM form WHERE g > 1""")
 def _(spark, sf):

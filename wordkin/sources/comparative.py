@@ -31,12 +31,28 @@ def with_headers(lines: DataFrame) -> DataFrame:
     return fill_down(marked, ["file"], "line_no", ["gloss", "group_no"])
 
 
-def read_forms(lines: DataFrame) -> DataFrame:
+def read_forms(lines: DataFrame, repeated: str = "last") -> DataFrame:
     """(gloss, group_id, language, lang_no, word) of the form lines.
 
     Words of group 1 are unrelated to each other: each line gets a group of its own,
-    numbered in file order.
+    numbered in file order. Of several words of a language in a group the last line counts, and a
+    gloss that a file opens again starts anew; ``repeated="all"`` keeps every line instead.
     """
+    if repeated == "all":
+        return _all_forms(lines)
+    if repeated != "last":
+        raise ValueError("repeated must be last or all")
+    opened = lines.filter(F.substring("value", 1, 1) == "a").groupBy("file", F.element_at(F.split(F.trim("value"), r"\s+"), 3).alias("gloss"))
+    forms = _all_forms(lines).join(opened.agg(F.max("line_no").alias("_opened")), ["file", "gloss"]).filter("line_no > _opened")
+    last = F.max_by(F.struct("line_no", "lang_no", "word"), "line_no").alias("_last")
+    return (
+        forms.groupBy("file", "gloss", "group_id", "language")
+        .agg(last)
+        .select("file", "_last.line_no", "gloss", "group_id", "language", "_last.lang_no", "_last.word")
+    )
+
+
+def _all_forms(lines: DataFrame) -> DataFrame:
     form = with_headers(lines).filter(F.col("value").startswith("  "))
     single = (F.col("group_no").cast("int") == 1).cast("bigint")
     form = running_total(form, ["file"], "line_no", single, "_singles")

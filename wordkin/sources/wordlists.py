@@ -189,7 +189,7 @@ def wide_lines_with_gold(
 
 
 def write_wordlist(lines: DataFrame, languages: list[str], path: str) -> None:
-    """Header file plus data files in one folder; the header sorts first on read-back."""
+    """Header and data files in one folder; the reader finds the header of a folder by its mark, not by order."""
     spark = lines.sparkSession
     header = spark.createDataFrame([("# " + "\t".join(languages),)], "value string")
     header.coalesce(1).write.mode("overwrite").text(path + "/part=0")
