@@ -257,6 +257,38 @@ def test_alignment_estimates(spark):
         assert np.allclose(learned[k, 1:, :].sum(axis=1), 1 - ins[node], atol=1e-6)
 
 
+def test_feature_fits(spark, monkeypatch):
+    """No slope is left at the fit, in one place and over rows in tasks; copies per language and the match feature count."""
+    from wordkin.operators import logit
+
+    rng = np.random.default_rng(8)
+    chars = ["∅", "a", "b", "c"]
+    rows = [(n, x, y, float(rng.integers(0, 30))) for n in ("n1", "n2", "n3") for x in chars for y in chars if x != "∅" or y != "∅"]
+    counts = spark.createDataFrame(rows, "node_id string, x string, y string, cnt double").filter("cnt > 3")
+    seen = {r[:3]: r[3] for r in rows if r[3] > 3}
+    fits = {}
+    for features in (logit.FEATURES, ("child", "match"), ("pair", "language_match")):
+        for cells in (logit.LOCAL_CELLS, 0):
+            monkeypatch.setattr(logit, "LOCAL_CELLS", cells)
+            fit = logit.fit_features(counts, chars, features, iterations=300 if cells else 60, tolerance=1e-7)
+            fits[features, cells] = fit.weights
+        monkeypatch.undo()
+        fit = logit.fit_features(counts, chars, features, iterations=300, tolerance=1e-7)
+        p = {(r.node_id, r.x, r.y): r.p for r in fit.shares(counts.select("node_id", "x").distinct()).collect()}
+        total = {}
+        for (n, x, y), c in seen.items():
+            total[n, x] = total.get((n, x), 0.0) + c
+        for key in {k[:2] for k in p}:
+            assert sum(v for k, v in p.items() if k[:2] == key) == pytest.approx(1)
+        for r in fit.table(spark, "string").collect():
+            plain = r.feature.removeprefix("language_")
+            mine = [k for k in p if r.node_id in (None, k[0]) and r.x in (None, k[1]) and r.y in (None, k[2]) and (plain != "match" or k[1] == k[2])]
+            assert sum(seen.get(k, 0.0) - total[k[:2]] * p[k] for k in mine) - 2 * r.weight == pytest.approx(0, abs=1e-4)
+        np.testing.assert_allclose(fits[features, 0], fits[features, logit.LOCAL_CELLS], atol=0.02)
+    with pytest.raises(ValueError):
+        logit.fit_features(counts, chars, ("vowel",))
+
+
 def test_rates(spark):
     counts = spark.createDataFrame([("a", 3.0, 10.0), ("b", 8.0, 10.0)], "node_id string, yes double, n double")
     got = {r.node_id: r.p for r in fit_rates(counts).collect()}

@@ -13,6 +13,7 @@ from wordkin.operators.estimation import (
     fit_alignment_features, fit_alignments, fit_branch_rate, fit_insertions, fit_rates,
 )
 from wordkin.operators.lexicon import alphabet, bigram_counts
+from wordkin.operators.logit import FEATURES, fit_features
 from wordkin.operators.pairs import EditScorer, expected_alignments, score_pairs, slot_blocks
 from wordkin.plans import cluster_job as job, views
 from wordkin.plans.catalog import LT, LT_CLOSURE, LT_LEAF, WL, query, shared, with_
@@ -493,18 +494,44 @@ def _(spark, sf):
     return as_rows(fit_branch_rate(counts.select("node_id", "yes", "n"), tree), "node_id", "p", digits=6)
 
 
-@query("m3_feature_estimate")
+# At the fit no slope is left; a feature has a weight for everything it looks at (the empty symbol never steps to itself).
+GRADIENT_SQL = with_(WL, "nc AS (SELECT count(*) + 1 AS n FROM (SELECT DISTINCT unnest(string_split(word, '')) FROM wl))", "nn AS (SELECT count(DISTINCT language) AS k FROM wl)") + """
+  SELECT feature, (CASE WHEN feature LIKE 'language_%' THEN k ELSE 1 END * CASE WHEN feature LIKE '%pair' THEN n * n - 1 WHEN feature LIKE '%child' THEN n ELSE 1 END)::BIGINT AS weights,
+  0.0::DOUBLE AS slope FROM (VALUES {features}) f(feature), nc, nn"""
+
+
+def feature_slopes(spark, sf, features: tuple[str, ...]) -> DataFrame:
+    """Per feature: how many weights it has, and the largest slope of the penalised likelihood at the fit. Slopes are
+    worked out anew, from the table of weights and the shares that follow from them."""
+    counts = cut(alignment_stand_in(spark, sf))
+    fit = fit_features(counts, letters(spark, sf), features, iterations=5_000)
+    shares = fit.shares(counts.select("node_id", "x").distinct())
+    total = counts.groupBy("node_id", "x").agg(F.sum("cnt").alias("total"))
+    cells = shares.join(total, ["node_id", "x"]).join(counts, ["node_id", "x", "y"], "left")
+    left = cut(cells.select("node_id", "x", "y", (F.coalesce("cnt", F.lit(0.0)) - F.col("total") * F.col("p")).alias("left")))
+    slopes = None
+    for name in features:
+        plain = name.removeprefix("language_")
+        keys = {"pair": ["x", "y"], "child": ["y"], "match": []}[plain] + (["node_id"] if plain != name else [])
+        held = [F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("node_id", "x", "y")]
+        sums = (left.filter("x = y") if plain == "match" else left).groupBy(*keys).agg(F.sum("left").alias("left"))
+        sums = sums.select(F.lit(name).alias("feature"), *held, "left")
+        slopes = sums if slopes is None else slopes.unionAll(sums)
+    weights = fit.table(spark, "string")
+    on = (F.col("w.feature") == F.col("s.feature")) & F.col("w.node_id").eqNullSafe(F.col("s.node_id")) & F.col("w.x").eqNullSafe(F.col("s.x")) & F.col("w.y").eqNullSafe(F.col("s.y"))
+    both = weights.alias("w").join(slopes.alias("s"), on, "left")
+    slope = F.coalesce("s.left", F.lit(0.0)) - 2.0 * F.col("w.weight")
+    return both.groupBy("w.feature").agg(F.count("*").alias("weights"), F.round(F.max(F.abs(slope)), 3).alias("slope"))
+
+
+@query("m3_feature_estimate", GRADIENT_SQL.format(features="('pair'), ('child'), ('match'), ('language_pair'), ('language_child'), ('language_match')"))
 def _(spark, sf):
-    model = fit_alignment_features(alignment_stand_in(spark, sf), letters(spark, sf), first_model(spark, sf))
-    return model.rows
+    return feature_slopes(spark, sf, FEATURES)
 
 
-@query("x4_feature_choice")
+@query("x4_feature_choice", GRADIENT_SQL.format(features="('child'), ('match'), ('language_pair')"))
 def _(spark, sf):
-    model = fit_alignment_features(
-        alignment_stand_in(spark, sf), letters(spark, sf), first_model(spark, sf), features=("pair", "language")
-    )
-    return model.rows
+    return feature_slopes(spark, sf, ("child", "match", "language_pair"))
 
 
 MASS_SQL = with_(WL, BG, f"ac AS (SELECT DISTINCT language AS node_id, prev AS x FROM bg WHERE prev <> '{EMPTY}')") + "SELECT node_id, x, 1.0::DOUBLE AS mass FROM ac"
