@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,20 +91,23 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     alive = bytearray(b"\x01") * n
+    get, pop, push = ranks.get, heapq.heappop, heapq.heappush
     while heap:
-        rank, i, stop = heapq.heappop(heap)
+        _, i, stop = pop(heap)
         j = after[i] if alive[i] else n
         if j >= n or end[j] != stop:
             continue  # one of its parts has been merged meanwhile
-        end[i], after[i], alive[j] = stop, after[j], 0
-        if after[j] < n:
-            before[after[j]] = i
-        for left in (before[i], i):
-            right = after[left] if left >= 0 else n
-            if left >= 0 and right < n:
-                r = ranks.get(piece[left : end[right]])
-                if r is not None:
-                    heapq.heappush(heap, (r, left, end[right]))
+        k, left = after[j], before[i]
+        end[i], after[i], alive[j] = stop, k, 0
+        if k < n:
+            before[k] = i
+            r = get(piece[i : end[k]])
+            if r is not None:
+                push(heap, (r, i, end[k]))
+        if left >= 0:
+            r = get(piece[left:stop])
+            if r is not None:
+                push(heap, (r, left, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -111,6 +115,11 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Whole-token lookup first, merges for the rest. Ids travel as little-endian unsigned 32 bits."""
 
@@ -133,7 +142,7 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         whole = self.whole.get(raw)
-        return np.array([whole] if whole is not None else merge_bytes(raw, self.ranks), "<u4").tobytes()
+        return little([whole] if whole is not None else merge_bytes(raw, self.ranks))
 
     def encode(self, text: str) -> bytes:
         memo, out = self.memo, []
