@@ -123,7 +123,9 @@ def with_scores(rows: DataFrame, model: BigramModel) -> DataFrame:
 
 def word_scores(items: DataFrame, model: BigramModel) -> DataFrame:
     """(node_id, word, lm): log-probability of each distinct (node_id, word), end included."""
-    return with_scores(items.select("node_id", "word"), model)
+    if model.rows is None:
+        return with_scores(items.select("node_id", "word"), model)
+    return _joined_scores(items, model)
 
 
 def _joined_scores(items: DataFrame, model: BigramModel) -> DataFrame:

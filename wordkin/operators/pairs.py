@@ -208,7 +208,7 @@ def as_scorer(scorer) -> ColumnScorer | LevenshteinScorer | EditScorer | Functio
 
 def slot_blocks(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """All parent-child blocks over the distinct words of each slot."""
-    legal = cut(with_blocks(cut(words.select("slot", "word").distinct()), block=block))
+    legal = with_blocks(cut(words.select("slot", "word").distinct()), block=block)
     p = legal.withColumn("p", F.struct("word"))
     c = legal.withColumn("c", F.struct("word"))
     return pair_blocks(p, c, ["slot"], count_pairs(legal, legal))
@@ -228,7 +228,15 @@ def candidate_summary(words: DataFrame, scorer="levenshtein", block: int = BLOCK
 
     Ties between partners go to the alphabetically first.
     """
-    pairs = as_scorer(scorer).pairs(slot_blocks(words, block), ["slot"])
+    scorer, blocks = as_scorer(scorer), slot_blocks(words, block)
+    if isinstance(scorer, LevenshteinScorer):
+        kind = blocks.schema["slot"].dataType.simpleString()
+        found = scorer.reduced(blocks, passes.partner_rows, "none", f"slot {kind}, word string, candidates long, score double, partner string")
+        pick = F.min(F.when(F.col("partner").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("partner").alias("w")))).alias("_b")
+        return found.groupBy("slot", "word").agg(F.sum("candidates").alias("candidates"), pick).select(
+            "slot", "word", "candidates", (-F.col("_b.s")).alias("score"), F.col("_b.w").alias("partner")
+        )
+    pairs = scorer.pairs(blocks, ["slot"])
     other = F.col("p.word") != F.col("c.word")
     rank = F.struct(F.col("edit").alias("s"), F.col("c.word").alias("w"))
     best = F.min(F.when(other, F.struct((-rank["s"]).alias("s"), rank["w"].alias("w"))))

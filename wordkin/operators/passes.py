@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 
 
+# Sums by (parent, node) are made in one array up to this size.
+DENSE = 8_000_000
+
+
 class Pairs:
     """Flat pairs of a batch: ``p`` and ``c`` are places in the concatenated parent and child lists."""
 
@@ -19,6 +23,9 @@ class Pairs:
         self.parents, self.children = batch.column("parents").flatten(), batch.column("children").flatten()
         self.block = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("parents").offsets, np.int64)))
         self.child_block = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("children").offsets, np.int64)))
+        self.edit = edit
+        if factors == "none":
+            return
         self.kept = edit + self.child("keep")[c]
         self.new = self.child("repl")[c]
         if factors == "edit":
@@ -38,18 +45,47 @@ class Pairs:
         return [self.batch.column(n).take(at) for n in names]
 
 
+def partner_rows(pairs: Pairs) -> pa.RecordBatch:
+    """(slot, word, candidates, score, partner): how many children a parent meets, and the best other word (ties: the first)."""
+    p, c, edit = pairs.p, pairs.c, pairs.edit
+    both = pa.concat_arrays([pairs.parents.field("word").cast(pa.string()), pairs.children.field("word").cast(pa.string())]).dictionary_encode()
+    words, index = both.dictionary, np.asarray(both.indices, np.int64)
+    rank = np.empty(len(words), np.int64)
+    order = np.array(sorted(range(len(words)), key=[w.encode("utf-8") for w in words.to_pylist()].__getitem__), np.int64)
+    rank[order] = np.arange(len(order))
+    own, other = rank[index[: len(pairs.block)]], rank[index[len(pairs.block) :]]
+    apart = np.flatnonzero(own[p] != other[c])
+    best = np.full(len(own), -np.inf)
+    np.maximum.at(best, p[apart], edit[apart])
+    top = apart[edit[apart] == best[p[apart]]]
+    first = np.full(len(own), len(order))
+    np.minimum.at(first, p[top], other[c[top]])
+    none = first == len(order)
+    partner = words.take(pa.array(order)).take(pa.array(np.where(none, 0, first), pa.int64(), mask=none))
+    return pa.RecordBatch.from_arrays(
+        [*pairs.keys(["slot"], pairs.block), pairs.parents.field("word"), pa.array(np.bincount(p, minlength=len(own)), pa.int64()), pa.array(best, mask=none), partner],
+        names=["slot", "word", "candidates", "score", "partner"],
+    )
+
+
 def leaf_rows(pairs: Pairs) -> pa.RecordBatch:
     """(slot, blk, nb, node_id, word, lp): summed costs of the observations of a node, for every parent."""
     nodes = pairs.children.field("node_id").dictionary_encode()
     code, k = np.asarray(nodes.indices, np.int64), len(nodes.dictionary)
     cell = pairs.p * k + code[pairs.c]
     values = pairs.child("n")[pairs.c] * pairs.cost
-    seen, where = np.unique(cell, return_inverse=True)
+    if len(pairs.block) * k <= DENSE:
+        sums = np.bincount(cell, values, len(pairs.block) * k)
+        seen = np.flatnonzero(np.bincount(cell, minlength=len(sums)))
+        sums = sums[seen]
+    else:
+        seen, where = np.unique(cell, return_inverse=True)
+        sums = np.bincount(where, values, len(seen))
     at = pa.array(seen // k, pa.int64())
     words = [pairs.parents.field(n).take(at) for n in ("blk", "nb")]
     return pa.RecordBatch.from_arrays(
         [*pairs.keys(["slot"], pairs.block[seen // k]), *words, nodes.dictionary.take(pa.array(seen % k, pa.int64())),
-         pairs.parents.field("word").take(at), pa.array(np.bincount(where, values, len(seen)))],
+         pairs.parents.field("word").take(at), pa.array(sums)],
         names=["slot", "blk", "nb", "node_id", "word", "lp"],
     )
 
@@ -81,7 +117,8 @@ def edge_rows(pairs: Pairs) -> pa.RecordBatch:
     names = pairs.children.field("obs_word").dictionary_encode()
     # The pairs of one observation of a block; an inner node's words are one observation.
     cell = pairs.child_block * len(names.dictionary) + np.asarray(names.indices, np.int64)
-    seen, where = np.unique(cell[pairs.c], return_inverse=True)
+    seen, of_child = np.unique(cell, return_inverse=True)
+    where = of_child[pairs.c]
     top = np.full(len(seen), -np.inf)
     np.maximum.at(top, where, score)
     mass = np.exp(score - top[where])
