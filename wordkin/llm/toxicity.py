@@ -134,7 +134,7 @@ class CompressionModel:
         best = np.sort(d)[::-1][:3]
         top[: len(best)] = best
         reach = [(d >= level).mean() for level in LEVELS]
-        return [*top, d.mean(), *reach, *(math.log1p((d >= level).sum()) for level in LEVELS), math.log(len(d))]
+        return [*top, d.mean(), *reach, *(math.log1p((d >= level).sum()) for level in LEVELS)]
 
     def fit(self, rows: np.ndarray, labels: np.ndarray, sizes: tuple[int, int] | None = None) -> None:
         """Logistic regression by Newton steps, with a small ridge penalty.
