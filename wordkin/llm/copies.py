@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wordkin.llm.common import words
-from wordkin.session import cut, small
+from wordkin.session import cut, settled, small
 
 SHINGLE = 5
 #: Members of one group that one task verifies against a copy of the group's first text.
@@ -102,7 +102,7 @@ def compare_with_first(
     group and no text is repeated for every pair.
     """
     needed = small(pairs.select("rid").union(pairs.select("first")).distinct())
-    held = cut(texts.join(needed, "rid", "left_semi"))
+    held = settled(texts.join(needed, "rid", "left_semi"))
     sizes = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = cut(pairs.join(sizes, "first").select("first", "rid", F.pmod(F.xxhash64("rid"), "chunks").alias("chunk")))
     members = dealt.join(held, "rid").select("first", "chunk", F.lit(1).alias("kind"), "rid", "text")

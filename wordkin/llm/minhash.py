@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wordkin.llm.copies import Shingler, compare_with_first, components, distinct_texts, mix, probability_jaccard
-from wordkin.session import cut
+from wordkin.session import cut, settled
 
 ROWS = 5
 BANDS = 25
@@ -122,7 +122,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
                 yield head_rid, rid
 
     schema = pa.schema([("first", pa.int64()), ("rid", pa.int64())])
-    return cut(compare_with_first(cut(pairs), texts, judge, schema, "first long, rid long"))
+    return settled(compare_with_first(cut(pairs), texts, judge, schema, "first long, rid long"))
 
 
 def near_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -134,7 +134,7 @@ def near_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     weighed = signed.join(weight, "rid").select(F.explode("bands").alias("key"), "rid", "weight")
     top = F.max(F.struct("weight", (-F.col("rid")).alias("minus")))
     heads = weighed.groupBy("key").agg((-top["minus"]).alias("value"), F.count("*").alias("n")).where("n > 1")
-    stars = cut(_spread(heads, keyed).where("value <> rid").select(F.col("value").alias("first"), "rid").distinct())
+    stars = settled(_spread(heads, keyed).where("value <> rid").select(F.col("value").alias("first"), "rid").distinct())
     links = verified(_agreeing(stars, signed), texts, similar)
     # Buckets that still hold several components: their members, once a text, then what is across them.
     roots = components(links, "first", "rid").withColumnRenamed("node", "rid")
@@ -143,7 +143,7 @@ def near_links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("value")).where("lo <> hi and value > 2")
     apart = _spread(apart, rooted).groupBy("rid").agg(F.collect_list(F.struct("key", F.col("value").alias("n"))).alias("open"))
     members = labelled.join(apart, "rid").select("rid", "root", "sig", "bands", F.explode("open").alias("o"))
-    across = cut(_across(members.select("rid", "root", "sig", "bands", "o.key", "o.n")))
+    across = settled(_across(members.select("rid", "root", "sig", "bands", "o.key", "o.n")))
     return links.unionAll(_verified_blocks(across, texts, similar))
 
 
@@ -256,7 +256,7 @@ def _verified_blocks(across: DataFrame, texts: DataFrame, similar: float) -> Dat
                 names=["cell", "rid", "partners"],
             )
 
-    dealt = cut(across.mapInArrow(deal, "cell long, rid long, partners array<long>"))
+    dealt = settled(across.mapInArrow(deal, "cell long, rid long, partners array<long>"))
     needed = dealt.where("partners is null").select("cell", "rid").distinct()
     given = needed.join(texts, "rid").select("cell", F.lit(0).alias("kind"), "rid", "text", F.lit(None).cast("array<long>").alias("partners"))
     asked = dealt.where("partners is not null").select("cell", F.lit(1).alias("kind"), "rid", F.lit(None).cast("string").alias("text"), "partners")
@@ -277,7 +277,7 @@ def _verified_blocks(across: DataFrame, texts: DataFrame, similar: float) -> Dat
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["first", "rid"])
 
-    return cut(ordered.mapInArrow(run, "first long, rid long"))
+    return settled(ordered.mapInArrow(run, "first long, rid long"))
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
