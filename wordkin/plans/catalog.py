@@ -49,9 +49,11 @@ def _sql_value(x) -> str:
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
 
 
-LT = "lt(node_id, parent_id, label, branch_length, ordinal, depth) AS (VALUES " + ", ".join(
-    "(" + ", ".join(_sql_value(x) for x in row) + ")" for row in views.LANGUAGE_TREE
-) + ")"
+def tree_values(rows: list[tuple]) -> str:
+    return "lt(node_id, parent_id, label, branch_length, ordinal, depth) AS (VALUES " + ", ".join("(" + ", ".join(_sql_value(x) for x in row) + ")" for row in rows) + ")"
+
+
+LT = tree_values(views.LANGUAGE_TREE)
 LT_LEAF = "leaf AS (SELECT node_id, parent_id, label AS language FROM lt WHERE node_id NOT IN (SELECT parent_id FROM lt WHERE parent_id IS NOT NULL))"
 LT_CLOSURE = """cl(ancestor, descendant, distance) AS (
   SELECT node_id, node_id, 0 FROM lt UNION ALL

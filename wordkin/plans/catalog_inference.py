@@ -16,7 +16,7 @@ from wordkin.operators.lexicon import alphabet, bigram_counts
 from wordkin.operators.logit import FEATURES, fit_features
 from wordkin.operators.pairs import EditScorer, expected_alignments, score_pairs, slot_blocks
 from wordkin.plans import cluster_job as job, views
-from wordkin.plans.catalog import LT, LT_CLOSURE, LT_LEAF, WL, query, shared, with_
+from wordkin.plans.catalog import LT, LT_CLOSURE, LT_LEAF, WL, query, shared, tree_values, with_
 from wordkin.plans.catalog_words import BG, LANGS, alignment_stand_in, n_chars, words
 from wordkin.session import cut, need_at_most
 
@@ -418,6 +418,85 @@ def _(spark, sf):
     return as_rows(out, "model", "node_id", "total", digits=2)
 
 
+# ---- a deeper tree, leaves at several depths ------------------------------------------------
+
+
+def deep_step(spark: SparkSession, sf: str) -> ms.Inference:
+    return shared(spark, sf, "deep_step", lambda: job.fixed_cost_job(words(spark, sf), views.deep_tree(spark))[0])
+
+
+def _deep_sql() -> list[str]:
+    """The messages node by node, from the deepest inner node up and down again; then marginals as above."""
+    tree = views.DEEP_TREE
+    inner = sorted({r[1] for r in tree if r[1] is not None}, key=lambda n: -next(r[5] for r in tree if r[0] == n))
+    leaf = UP[UP.index(next(x for x in UP if x.startswith("ol AS"))) :][:2]
+    out = [tree_values(tree) if x == LT else x for x in MODEL] + leaf
+
+    def message(c: int) -> str:
+        return f"up_{c}" if c in inner else f"(SELECT slot, word, lp FROM leafm WHERE node_id = {c})"
+
+    for n in inner:
+        kids = [r[0] for r in tree if r[1] == n]
+        out.append(f"bel_{n} AS MATERIALIZED (SELECT slot, word, sum(lp) AS lp FROM (" + " UNION ALL ".join(f"SELECT slot, word, lp FROM {message(c)}" for c in kids) + ") GROUP BY slot, word)")
+        if n:
+            out.append(f"""sl_{n} AS MATERIALIZED (SELECT b.*, max(b.lp) OVER (PARTITION BY slot) AS top, lm.lm FROM bel_{n} b JOIN lm ON lm.node_id = {n} AND lm.word = b.word)""")
+            out.append(f"""up_{n} AS MATERIALIZED (SELECT pr.slot, pr.p AS word, max(lm.lp + {mix('kept', NEW)}) AS lp FROM pr JOIN sl_{n} lm ON lm.slot = pr.slot AND lm.word = pr.c
+              WHERE lm.lp >= lm.top - 10 OR pr.p = pr.c GROUP BY ALL)""")
+    out.append("down_0 AS MATERIALIZED (SELECT slot, word, lm AS lp FROM legal JOIN lm USING (word) WHERE lm.node_id = 0)")
+    for n in reversed(inner):
+        for c in (r[0] for r in tree if r[1] == n):
+            out.append(f"down_{c} AS MATERIALIZED (SELECT m.slot, m.word, d.lp + b.lp - m.lp AS lp FROM {message(c)} m JOIN down_{n} d USING (slot, word) JOIN bel_{n} b USING (slot, word))")
+    out.append("bel AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT slot, {n} AS node_id, word, lp FROM bel_{n}" for n in inner) + ")")
+    out.append("down AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT slot, {r[0]} AS node_id, word, lp FROM down_{r[0]}" for r in tree) + ")")
+    return out
+
+
+DEEP = _deep_sql()
+DEEP_MARGINAL = DEEP + MARGINAL[len(DOWN):]
+_ABOVE = {r[0]: r[1] for r in views.DEEP_TREE}
+
+
+def _ancestors(n: int) -> list[int]:
+    up = _ABOVE[n]
+    return [] if up in (None, 0) else [up, *_ancestors(up)]
+
+
+DEEP_DECODE = DEEP_MARGINAL + [
+    "anc(leaf_id, node_id, depth) AS (VALUES " + ", ".join(f"({r[0]}, {a}, {next(x[5] for x in views.DEEP_TREE if x[0] == a)})" for r in views.DEEP_TREE for a in _ancestors(r[0])) + ")",
+    "cutn AS (SELECT m.slot, anc.leaf_id, arg_max(anc.node_id, anc.depth) AS node_id FROM mar m JOIN anc USING (node_id) WHERE m.obs_word = '' AND innovation >= 0.5 GROUP BY 1, 2)",
+    """dec AS MATERIALIZED (SELECT w.obs_id, w.slot, w.language, w.gold_id, CASE WHEN m.innovation >= 0.5 THEN w.slot || '|word|' || w.obs_id
+      ELSE w.slot || '|node|' || coalesce(c.node_id, 0) END AS cluster_id
+      FROM wl w JOIN leaf USING (language) JOIN mar m ON m.slot = w.slot AND m.node_id = leaf.node_id AND m.obs_word = w.word
+      LEFT JOIN cutn c ON c.slot = w.slot AND c.leaf_id = leaf.node_id)""",
+]
+
+
+@query("b4_deep_upward", with_(*DEEP) + "SELECT slot, node_id::BIGINT AS node_id, word, round(lp, 4) AS lp FROM bel")
+def _(spark, sf):
+    return as_rows(deep_step(spark, sf).upward()[1], "slot", "node_id", "word", "lp")
+
+
+@query("b5_deep_downward", with_(*DEEP) + "SELECT slot, node_id::BIGINT AS node_id, word, round(lp, 4) AS lp FROM down")
+def _(spark, sf):
+    return as_rows(deep_step(spark, sf).downward(), "slot", "node_id", "word", "lp")
+
+
+@query("b7_deep_marginals", with_(*DEEP_MARGINAL) + "SELECT slot, node_id::BIGINT AS node_id, obs_word, round(log_z, 4) AS log_z, round(innovation, 6) AS innovation FROM mar")
+def _(spark, sf):
+    rows = deep_step(spark, sf).edge_marginals()
+    return rows.select("slot", F.col("node_id").cast("bigint").alias("node_id"), "obs_word", F.round("log_z", 4).alias("log_z"), F.round("innovation", 6).alias("innovation"))
+
+
+@query("b8_deep_decode", with_(*DEEP_DECODE) + "SELECT obs_id, cluster_id FROM dec")
+def _(spark, sf):
+    return ms.decode(words(spark, sf), deep_step(spark, sf)).select("obs_id", "cluster_id")
+
+
+@query("w5_deep_cut", with_(*DEEP_DECODE) + "SELECT c.slot, leaf.language, c.node_id::VARCHAR AS anchor FROM cutn c JOIN leaf ON leaf.node_id = c.leaf_id")
+def _(spark, sf):
+    return ms.cut_anchors(deep_step(spark, sf)).select("slot", "language", F.col("anchor").cast("string").alias("anchor"))
+
+
 # ---- re-estimation ---------------------------------------------------------------------------
 
 

@@ -25,6 +25,16 @@ LANGUAGE_TREE = [
     (5, 2, "fr", 0.5, 0, 2),
     (6, 2, "es", 0.5, 1, 2),
 ]
+# Three inner levels, leaves at depths 1 to 3.
+DEEP_TREE = [
+    (0, None, "ROOT", 0.0, 0, 0),
+    (1, 0, "A", 1.0, 0, 1),
+    (6, 0, "es", 0.5, 1, 1),
+    (2, 1, "B", 1.0, 0, 2),
+    (5, 1, "fr", 0.5, 1, 2),
+    (3, 2, "en", 0.5, 0, 3),
+    (4, 2, "de", 0.5, 1, 3),
+]
 LANGUAGES = ["de", "en", "es", "fr"]
 NODES = "node_id int, parent_id int, label string, branch_length double, ordinal int, depth int"
 
@@ -47,6 +57,10 @@ def language_tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LANGUAGE_TREE, NODES).select(F.lit("lang").alias("tree_id"), "*")
 
 
+def deep_tree(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEEP_TREE, NODES).select(F.lit("deep").alias("tree_id"), "*")
+
+
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     folded = F.translate(F.regexp_replace(F.lower("text"), "ß", "ss"), ACCENTED, PLAIN)
     word = F.explode(F.split(folded, "[^a-z]+")).alias("word")
