@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
@@ -94,15 +93,6 @@ def passing_cuts(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``cut``, then let the shuffles that led to the table go: their files stay on the executors' disks until the
-    driver's garbage collection finds that nothing refers to them, so one is asked for. For steps that shuffle much."""
-    done = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
-
-
 def scratch_dir(spark: SparkSession) -> str:
     _ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
