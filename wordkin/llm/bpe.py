@@ -8,7 +8,8 @@ The tables are built once on the driver from the rank file (its path is a parame
 bound of what is broadcast). Tasks keep a bounded memory of pre-tokens they have encoded.
 
 Defined results: a null text counts as empty and has no ids; unpaired surrogates cannot occur in a
-Spark string; a pre-token of any length costs n log n; equal texts get equal ids.
+Spark string; a pre-token of any length costs n log n; equal texts get equal ids; rows are never dropped,
+extra columns pass through, input columns of the result's names are replaced.
 """
 
 from __future__ import annotations
