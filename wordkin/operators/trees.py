@@ -86,9 +86,49 @@ def clade_members(tree: DataFrame, depth: int | None = None) -> DataFrame:
     )
 
 
-def clades(tree: DataFrame, depth: int | None = None) -> DataFrame:
-    """Sorted leaf-label arrays, for samples of trees that each fit one text row."""
-    return clade_members(tree, depth).groupBy(*MEMBER).agg(F.sort_array(F.collect_set("leaf")).alias("clade"))
+def _leaf_sets(rows: list[dict]) -> dict:
+    """Node -> leaf labels below it, of the rows (node_id, parent_id, label) of one tree."""
+    up: dict = {}
+    for r in rows:
+        up.setdefault(r["node_id"], set()).add(r["parent_id"])
+    inner = set().union(*up.values())
+    found: dict = {}
+    for r in rows:
+        todo, seen = [r["node_id"]] if r["node_id"] not in inner else [], set()
+        while todo:
+            node = todo.pop()
+            if node is not None and node not in seen:
+                seen.add(node)
+                found.setdefault(node, set()).update(() if r["label"] is None else (r["label"],))
+                todo += up.get(node, ())
+    return found
+
+
+def clades(tree: DataFrame) -> DataFrame:
+    """Sorted leaf-label arrays, for samples of trees that each fit one text row: a tree goes to one task whole, in one
+    shuffle. ``clade_members`` does the same for trees of any size."""
+    python_ready(tree.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in tree.schema.fields}
+    whole = (
+        tree.where("tree_id is not null and node_id is not null")
+        .groupBy("tree_id")
+        .agg(F.collect_list(F.struct("node_id", "parent_id", "label")).alias("nodes"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, found = [], [], []
+            for k, rows in enumerate(batch.column(1).to_pylist()):
+                for node, labels in _leaf_sets(rows).items():
+                    at.append(k)
+                    ids.append(node)
+                    found.append(sorted(labels, key=lambda x: x.encode("utf-8")))
+            node_kind = batch.schema.field("nodes").type.value_type.field("node_id").type
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, node_kind), pa.array(found, pa.list_(pa.string()))], names=["tree_id", "node_id", "clade"]
+            )
+
+    return whole.mapInArrow(run, f"tree_id {kinds['tree_id']}, node_id {kinds['node_id']}, clade array<string>")
 
 
 def clade_support(clade_rows: DataFrame) -> DataFrame:

@@ -19,22 +19,21 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "places", lambda: cut(views.place_tree(spark, sf)))
 
 
+def order_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree strings, built once: both readers below go over them, the second one twice."""
+    return views.spread_input(shared(spark, sf, "order_texts", lambda: cut(views.order_tree_texts(spark, sf))))
+
+
 def order_trees(spark: SparkSession, sf: str) -> DataFrame:
-    return shared(
-        spark, sf, "order_trees",
-        lambda: cut(read_trees(views.spread_input(views.order_tree_texts(spark, sf)), "newick")),
-    )
+    return shared(spark, sf, "order_trees", lambda: cut(read_trees(order_texts(spark, sf), "newick")))
 
 
 def order_clades(spark: SparkSession, sf: str) -> DataFrame:
-    return shared(spark, sf, "order_clades", lambda: cut(tr.clades(order_trees(spark, sf), 3)))
+    return shared(spark, sf, "order_clades", lambda: cut(tr.clades(order_trees(spark, sf))))
 
 
 def support(spark: SparkSession, sf: str) -> DataFrame:
-    return shared(
-        spark, sf, "support",
-        lambda: cut(text_clade_support(views.spread_input(views.order_tree_texts(spark, sf)), "newick")),
-    )
+    return shared(spark, sf, "support", lambda: cut(text_clade_support(order_texts(spark, sf), "newick")))
 
 
 NODE_SQL = with_(OT) + """SELECT tree_id, label, parent_label, depth, length, count(*) AS nodes FROM (
@@ -158,7 +157,8 @@ def _(spark, sf):
 @query("a18_clade_times", with_(OT_CLADES) + "SELECT clade, avg(CASE WHEN label IN ('F', 'O') THEN 0.5 WHEN length(label) = 2 THEN 0 ELSE 0.5 END::DOUBLE) AS time FROM oc WHERE clade LIKE '%,%' GROUP BY 1")
 def _(spark, sf):
     t = tr.with_times(order_trees(spark, sf), 0.5, 3).select("tree_id", "node_id", "time")
-    rows = order_clades(spark, sf).join(t, ["tree_id", "node_id"]).filter(F.size("clade") > 1)
+    # read twice: by the clades and by their times
+    rows = cut(order_clades(spark, sf).filter(F.size("clade") > 1).join(t, ["tree_id", "node_id"]).select("clade", "time"))
     sup = rows.select("clade").distinct()
     return tr.clade_times(sup, rows).select(F.array_join("clade", ",").alias("clade"), "time")
 
