@@ -157,6 +157,43 @@ def test_passages_around_a_frequent_phrase(spark, phrase):
     assert uncovered(rows, got) == [] and {r.doc_id for r in got} == set(range(101, 180, 2))
 
 
+def test_changed_passages_of_frequent_shingles(spark):
+    # Every word of a pair's passage is in 40 texts, in pieces of 11 words, so all its shingles but those over seams are
+    # frequent; the second text of a pair has changed words, so no long run is equal and the first text has no passage.
+    rng = random.Random(21)
+    lines = [prose(rng, 16) for _ in range(4)]
+    rows = [(i, f"{prose(rng, 40)} {' '.join(lines)} {prose(rng, 12)}", "") for i in range(40)]
+    for i in range(12):
+        changed = [prose(rng, 16) for _ in range(2)]
+        body = " ".join([*lines[:2], changed[0], lines[2], changed[1], lines[3]]).split()
+        other = body.copy()
+        other[36] = other[74] = "xx"
+        rows += [(100 + 2 * i + k, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}", "") for k, words in enumerate((body, other))]
+    got = substrings.report(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
+    for i in range(12):
+        longest = max(r.n_words for r in got if r.doc_id == 101 + 2 * i and r.first_doc_id == 100 + 2 * i)
+        assert longest >= 75
+
+
+def test_pairs_left_over_in_large_groups(spark):
+    # 60 texts under one key; texts 1 to 20 share a passage with text 0. Text 30 has text 0's shingles in another order,
+    # 40 and 41 share shingles that text 0 lacks, 5 and 6 some behind their passage, others only those of text 0's change.
+    rng = random.Random(22)
+    common = prose(rng, 60).split()
+    tails = {i: prose(rng, 20).split() for i in range(60)}
+    tails[41][:6], tails[6][:6] = tails[40][:6], tails[5][:6]
+    texts = {i: [*common[:20], *tails[i]] if i > 20 else [*common, *tails[i]] for i in range(60)}
+    texts[30] = [*common[:20], *common[40:], *common[20:40], *tails[30]]
+    for i in range(1, 21):
+        texts[i][30] = "yy"
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "rid long, text string")
+    groups = spark.createDataFrame([(9, 0, 60, i, *((40, 52) if i in (5, 6) else (4, 12))) for i in range(60)], "key long, first long, n long, rid long, start long, stop long")
+    passages = spark.createDataFrame([(i, 0, 60, 0) for i in range(1, 21)], "rid long, start long, n_words long, first long")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)], "first long, rid long")
+    got = {tuple(r) for r in substrings.remaining_pairs(frame, groups, passages, pairs).collect()}
+    assert got == {(min(30, i), max(30, i)) for i in range(1, 60) if i != 30} | {(5, 6), (40, 41)}
+
+
 def test_passages_after_a_repeated_opening():
     rng = np.random.default_rng(12)
     new = lambda n: rng.integers(0, 2**40, n).astype(np.uint64)
