@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wordkin.operators import alignment as al, messages as ms, tries
+from wordkin.operators import alignment as al, messages as ms, passes, tries
 from wordkin.operators.edit_model import EditModel
 from wordkin.operators.lexicon import BigramModel, bigram_counts
 from wordkin.operators.pairs import expected_alignments
@@ -108,3 +108,44 @@ def test_weighted_bigrams_are_summed_by_word_first(spark):
     assert {tuple(r)[:3]: r.cnt for r in counts.collect()} == {
         (1, "∅", "a"): 0.75, (1, "a", "b"): 0.75, (1, "b", "∅"): 1.75, (1, "∅", "b"): 1.0, (2, "∅", "a"): 2.0, (2, "a", "b"): 2.0, (2, "b", "∅"): 2.0,
     }
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("longest", [3, 8, 9, 16, 33, 64])
+def test_distances_need_no_alignment_table(longest, monkeypatch):
+    pick = random.Random(longest)
+
+    def side():
+        return ["".join(pick.choice("abé😀") for _ in range(pick.choice([0, 1, longest // 2, longest - 1, longest]))) for _ in range(pick.randint(1, 7))]
+
+    blocks = [(side(), side()) for _ in range(12)]
+    batch = pa.RecordBatch.from_pylist([{"parents": [{"word": w} for w in p], "children": [{"word": w} for w in c]} for p, c in blocks]).slice(3, 6)
+    # neither tries nor single pairs
+    monkeypatch.setattr(al.tries, "PrefixTrie", None)
+    monkeypatch.setattr(al, "_forward", None)
+    monkeypatch.setattr(al, "BIT_PAIRS", 10)
+    costs = lambda words: al.distance_costs(words, -4.0)
+    scores, *_ = al.score_all(batch.column("parents"), batch.column("children"), costs)
+    assert scores.tolist() == [-4.0 * plain_distance(p, c) for ps, cs in blocks[3:9] for p in ps for c in cs]
+
+
+def test_distances_of_words_beyond_the_bits():
+    words = ["a" * 70, "a" * 69 + "b", "", "ab"]
+    batch = pa.RecordBatch.from_pylist([{"parents": [{"word": w} for w in words], "children": [{"word": w} for w in words]}])
+    scores, *_ = al.score_all(batch.column("parents"), batch.column("children"), lambda w: al.distance_costs(w, -1.0))
+    assert scores.tolist() == [-1.0 * plain_distance(p, c) for p in words for c in words]
+
+
+def test_log_sums_of_any_numbers():
+    values = np.array([-np.inf, -800.0, -3.0, 0.0, 2.5, 700.0])
+    for some in (values, values[1:]):
+        a, b = (x.reshape(-1) for x in np.meshgrid(some, some))
+        np.testing.assert_allclose(passes.log_sum(a, b), np.logaddexp(a, b), rtol=1e-15, atol=1e-15)
