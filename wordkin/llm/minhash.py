@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wordkin.llm.copies import Shingler, compare_with_first, components, distinct_texts, mix, probability_jaccard
-from wordkin.session import cut
+from wordkin.session import cut, passing_cuts
 
 ROWS = 5
 BANDS = 25
@@ -286,10 +286,11 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     root is the smallest row number of the row's class.
     """
     rows, texts, copies = distinct_texts(df, doc_id, text)
-    roots = components(near_links(texts, similar), "first", "rid")
     first = rows.select("rid").join(copies, "rid", "left").select("rid", F.coalesce("of", "rid").alias("of"))
-    classes = first.join(roots.withColumnRenamed("node", "of"), "of", "left").select("rid", F.coalesce("root", "of").alias("root"))
-    return rows, cut(classes)
+    with passing_cuts(df.sparkSession) as stay:
+        roots = components(near_links(texts, similar), "first", "rid")
+        classes = first.join(roots.withColumnRenamed("node", "of"), "of", "left").select("rid", F.coalesce("root", "of").alias("root"))
+        return rows, stay(cut(classes))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
